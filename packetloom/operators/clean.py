@@ -42,8 +42,10 @@ def keep_finite(df: DataFrame, subset: list[str]) -> DataFrame:
     the file reader can use.
     """
     floats = set(float_columns(df))
+    inf = F.lit(float("inf"))
     for c in subset:
-        df = df.filter(F.abs(F.col(c)) < F.lit(float("inf"))) if c in floats else df.filter(F.col(c).isNotNull())
+        # NaN sorts above infinity, so both bounds together leave only finite values
+        df = df.filter((F.col(c) > -inf) & (F.col(c) < inf)) if c in floats else df.filter(F.col(c).isNotNull())
     return df
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from packetloom.functions.dims import attach
 from packetloom.functions.ordering import running_totals
+from packetloom.functions.scratch import materialize
 
 
 def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -122,7 +123,7 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score", by: list[str
 
 
 def _cumulated(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    counts = score_counts(df, y, score, by)
+    counts = materialize(score_counts(df, y, score, by), "scores")  # one scan of the rows
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     cum = running_totals(counts, by, "score", ["pos", "neg"])
     if by:

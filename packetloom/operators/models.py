@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from packetloom.functions.ordering import digest
+from packetloom.functions.scratch import materialize, spread
 from packetloom.operators.clean import keep_finite
 from packetloom.operators.evaluate import accuracy, binary_rates, metric_row, score_summary
 from packetloom.operators.flows import flow_features, to_unified
@@ -62,7 +63,7 @@ def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Sca
         estimator.setLabelCol(label).setFeaturesCol("features"),
     ]
     weight = estimator.getWeightCol() if estimator.isDefined("weightCol") else None
-    data = df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else []))
+    data = spread(df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else [])))
     return Pipeline(stages=stages).fit(data)
 
 
@@ -203,7 +204,7 @@ def permutation_importance(
     features are one table, scored in one pass by ``scorer``, which must add
     ``pred`` to its input.
     """
-    sample = sample_n(df.select(*features, label, *key), key, rows, seed)
+    sample = materialize(sample_n(df.select(*features, label, *key), key, rows, seed), "sample")
     base = accuracy(scorer(sample), label).select("accuracy").scalar()
     at = _ranked(sample, key, seed, "at")
     copies = at.withColumn("runs", F.array(*[F.struct(F.lit(r).alias("run"), F.lit(f).alias("feature")) for r in range(repeats) for f in features]))
@@ -226,7 +227,7 @@ def attribution(
     over draws, is its attribution. All mixes are scored in one pass by
     ``scorer``, which must add ``score``.
     """
-    sample = sample_n(df.select(*features, *key), key, rows, seed)
+    sample = materialize(sample_n(df.select(*features, *key), key, rows, seed), "sample")
     numbered = _ranked(sample, key, seed, "at")
     n = sample.agg(F.count("*")).first()[0]
     draw = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))

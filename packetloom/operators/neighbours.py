@@ -21,7 +21,7 @@ from packetloom.functions.dims import attach
 from packetloom.functions.ordering import digest_int, digest_unit, mark_quota, repeat_rows
 from packetloom.functions.scratch import materialize
 
-_PIVOTS = 64
+_PIVOTS = 512
 _BLOCK = 2_048
 _QUERY_BLOCK = 16_384
 _MAX_CELLS = 200_000
@@ -71,7 +71,7 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     sizes = {r["g"]: r["n"] for r in vecs.groupBy("g").agg(F.count("*").alias("n")).limit(_MAX_CELLS + 1).collect()}
     if len(sizes) > _MAX_CELLS:
         raise ValueError(f"more than {_MAX_CELLS} groups to search in")
-    n_pivots = max(1, min(_PIVOTS, _MAX_CELLS // max(1, len(sizes))))
+    n_pivots = max(1, min(_PIVOTS, sum(sizes.values()) // _BLOCK, _MAX_CELLS // max(1, len(sizes))))
     found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in found], dtype="float64"))
 

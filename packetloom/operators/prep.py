@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from packetloom.functions.dims import attach
+from packetloom.functions.dims import attach, bounded
+from packetloom.functions.scratch import materialize, spread
 from packetloom.operators.clean import keep_finite
 from packetloom.operators.sampling import mark_split
 
@@ -58,7 +59,8 @@ class Scaler:
     @staticmethod
     def fit(df: DataFrame, features: list[str], by: list[str] | None = None) -> Scaler:
         aggs = [f(c).alias(f"{c}_{n}") for c in features for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))]
-        return Scaler(features, df.groupBy(*(by or [])).agg(*aggs), by or [])
+        stats, _ = bounded(df.groupBy(*(by or [])).agg(*aggs))  # computed once
+        return Scaler(features, stats, by or [])
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.by:
@@ -109,15 +111,21 @@ def preprocess(
     test_size: float = 0.2,
     seed: int = 42,
     keep: list[str] | None = None,
+    store: bool = False,
 ) -> Prepared:
-    """Drop bad rows, keep the features, split per class, scale by the train rows."""
+    """Drop bad rows, keep the features, split per class, scale by the train rows.
+
+    ``store`` writes the result once to the shared folder, for learners that read
+    it again and again.
+    """
     if label in features:
         raise ValueError("the label is not a feature")
     cols = list(dict.fromkeys([*features, label, *key, *(keep or [])]))
     clean = keep_finite(df, [*features, label]).select(*cols)
     marked = mark_split(clean, label, key, test_size, seed)
     scaler = Scaler.fit(marked.filter(~F.col("is_test")), features)
-    return Prepared(scaler.transform(marked), scaler)
+    rows = scaler.transform(marked)
+    return Prepared(materialize(spread(rows), "prepared") if store else rows, scaler)
 
 
 def reduce_features(df: DataFrame, ranked: DataFrame, n: int = 20, keep: list[str] | None = None) -> DataFrame:

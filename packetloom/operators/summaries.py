@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from packetloom.functions.dims import attach
 from packetloom.functions.ordering import running_totals
 from packetloom.functions.quantiles import exact_quantiles
+from packetloom.functions.scratch import materialize
 
 
 def latency_summary(df: DataFrame, value: str) -> DataFrame:
@@ -31,6 +32,7 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, qs: list[float]) -> D
     running totals, so no group is sorted by one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "values")  # one scan of the rows
     ranks = running_totals(counts, by, value, ["n"], descending=False)
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("size"))
     ranks = attach(ranks, sizes, by)

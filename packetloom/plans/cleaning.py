@@ -247,8 +247,8 @@ _CANDIDATES = ", ".join(
 @query(f"""WITH {SOURCES}, pairs(feature, candidate, in_target) AS (VALUES {_CANDIDATES}),
 seen AS (SELECT 'dur' AS feature, count(dur) AS rows, avg(dur) AS mean FROM raw_a UNION ALL SELECT 'spkts', count(spkts), avg(spkts) FROM raw_a
   UNION ALL SELECT 'rate', count(rate), avg(rate) FROM raw_a UNION ALL SELECT 'mean', count(mean), avg(mean) FROM raw_a)
-SELECT feature, candidate, in_target, rows, round(mean, 9) AS mean FROM pairs LEFT JOIN seen USING (feature)""")
+SELECT feature, candidate, in_target, rows, round(mean, 7) AS mean FROM pairs LEFT JOIN seen USING (feature)""")
 def semantic_candidates(v: Views):
-    return rounded(schema.semantic_candidates(v.raw_a(), list(schema.UNIFIED), schema.SEMANTIC_CANDIDATES), 9)
+    return rounded(schema.semantic_candidates(v.raw_a(), list(schema.UNIFIED), schema.SEMANTIC_CANDIDATES), 7)
 
 

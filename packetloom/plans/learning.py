@@ -25,7 +25,7 @@ _BOOST = {"trees": 10, "depth": 5}
 
 
 def _prepared(v: Views) -> prep.Prepared:
-    return prep.preprocess(v.binary_flows(), NUM, "y", KEY, keep=["label"])
+    return prep.preprocess(v.binary_flows(), NUM, "y", KEY, keep=["label"], store=True)
 
 
 def _with_codes(v: Views):
@@ -100,7 +100,7 @@ def feature_importance(v: Views):
 
 
 def _sources(v: Views) -> dict[str, prep.Prepared]:
-    return {n: prep.preprocess(df, SHARED, "label", ["rid"]) for n, df in v.aligned().items()}
+    return {n: prep.preprocess(df, SHARED, "label", ["rid"], store=True) for n, df in v.aligned().items()}
 
 
 @query()

@@ -45,7 +45,7 @@ def source_profile(v: Views):
     return rounded(df.groupBy("source").agg(F.count("*").alias("rows"), F.sum("label").alias("attacks"), *[F.avg(c).alias(c) for c in SHARED]))
 
 
-_Z = ", ".join(f"round((a.{c} - m.{c}_mean) / CASE WHEN m.{c}_sd = 0 THEN 1 ELSE m.{c}_sd END, 6) AS {c}" for c in SHARED)
+_Z = ", ".join(f"round((a.{c} - m.{c}_mean) / CASE WHEN m.{c}_sd = 0 THEN 1 ELSE m.{c}_sd END, 4) + 0.0 AS {c}" for c in SHARED)
 _STATS = ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd" for c in SHARED)
 
 
@@ -53,21 +53,21 @@ _STATS = ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd" for c in S
 def pooled_scale(v: Views):
     pooled = schema.union_sources(v.aligned())
     scaled = prep.Scaler.fit(pooled, SHARED).transform(pooled)
-    return rounded(scaled.select("source", "rid", *SHARED))
+    return rounded(scaled.select("source", "rid", *SHARED), 4)
 
 
 @query(f"WITH {SOURCES}, m AS (SELECT source, {_STATS} FROM aligned GROUP BY source) SELECT a.source, a.rid, {_Z} FROM aligned a JOIN m USING (source)")
 def scale_by_source(v: Views):
     pooled = schema.union_sources(v.aligned())
     scaled = prep.Scaler.fit(pooled, SHARED, ["source"]).transform(pooled)
-    return rounded(scaled.select("source", "rid", *SHARED))
+    return rounded(scaled.select("source", "rid", *SHARED), 4)
 
 
 @query(f"""WITH {FLOWS}, m AS (SELECT {', '.join(f'avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd' for c in NUM)} FROM flows)
-SELECT {_KEYS}, {', '.join(f'round(({c} - {c}_mean) / {c}_sd, 6) AS {c}' for c in NUM)} FROM flows, m""")
+SELECT {_KEYS}, {', '.join(f'round(({c} - {c}_mean) / {c}_sd, 4) + 0.0 AS {c}' for c in NUM)} FROM flows, m""")
 def standard_scale(v: Views):
     df = v.flows().drop("label")
-    return rounded(prep.Scaler.fit(df, NUM).transform(df))
+    return rounded(prep.Scaler.fit(df, NUM).transform(df), 4)
 
 
 @query(f"WITH {FLOWS}, {_RANKED} SELECT {_KEYS}, label, rn <= round(0.2 * n) AS is_test FROM ranked")
@@ -111,10 +111,10 @@ def class_weights(v: Views):
 @query(f"""WITH {FLOWS}, ok AS (SELECT * FROM flows WHERE l_tax < 0.08),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {MD5_KEY}) <= round(0.2 * count(*) OVER (PARTITION BY label)) AS is_test FROM ok),
 m AS (SELECT {', '.join(f'avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd' for c in NUM)} FROM r WHERE NOT is_test)
-SELECT {_KEYS}, label, is_test, {', '.join(f'round(({c} - {c}_mean) / {c}_sd, 6) AS {c}' for c in NUM)} FROM r, m""")
+SELECT {_KEYS}, label, is_test, {', '.join(f'round(({c} - {c}_mean) / {c}_sd, 4) + 0.0 AS {c}' for c in NUM)} FROM r, m""")
 def preprocess(v: Views):
     bad = v.flows().withColumn("l_tax", F.when(F.col("l_tax") < 0.08, F.col("l_tax")).otherwise(F.lit(float("inf"))))
-    return rounded(prep.preprocess(bad, NUM, "label", KEY).rows)
+    return rounded(prep.preprocess(bad, NUM, "label", KEY).rows, 4)
 
 
 _RULE = "CASE WHEN {q} * 2 + {d} * 100 + {t} * 50 > 60 THEN 1 ELSE 0 END"
