@@ -22,7 +22,7 @@ from packetloom.functions.ordering import digest_int, digest_unit, mark_quota, r
 from packetloom.functions.scratch import materialize
 
 _PIVOTS = 512
-_BLOCK = 2_048
+_BLOCK = 8_192
 _QUERY_BLOCK = 16_384
 _MAX_CELLS = 200_000
 
@@ -72,8 +72,9 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     if len(sizes) > _MAX_CELLS:
         raise ValueError(f"more than {_MAX_CELLS} groups to search in")
     n_pivots = max(1, min(_PIVOTS, sum(sizes.values()) // _BLOCK, _MAX_CELLS // max(1, len(sizes))))
-    found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("v").limit(n_pivots).collect()
+    found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("g", "vid", "v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in found], dtype="float64"))
+    pivot_group, pivot_id = np.array([r["g"] for r in found]), np.array([r["vid"] for r in found])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,20 +95,30 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row per cell that may hold one of the ``k`` nearest."""
         for pdf in batches:
-            for g, some in pdf.groupby("g"):
+            for g, rows in pdf.groupby("g"):
                 cell, n, lo, hi = cells.value[g]
-                d = _distances(np.stack(some["v"].to_numpy()), pivots.value[cell])
-                upper = d + hi
-                order = np.argsort(upper, axis=1)
-                enough = np.cumsum(n[order], axis=1) >= k + 1
-                at = enough.argmax(axis=1)
-                bound = np.take_along_axis(np.take_along_axis(upper, order, 1), at[:, None], 1)[:, 0]
-                bound = np.where(enough.any(axis=1), bound * (1 + 1e-9) + 1e-9, np.inf)
-                lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                row, col = np.nonzero(lower <= bound[:, None])
-                yield pd.DataFrame(
-                    {"g": g, "vid": some["vid"].to_numpy()[row], "v": some["v"].to_numpy()[row], "cell": cell[col].astype("int32"), "blocks": -(-n[col] // _BLOCK)}
-                )
+                mine = pivot_group == g
+                step = max(1, 50_000 // len(cell))
+                for i in range(0, len(rows), step):
+                    some = rows.iloc[i : i + step]
+                    every = _distances(np.stack(some["v"].to_numpy()), pivots.value)
+                    d = every[:, cell]
+                    # at least k others lie this near: by the cells' extents, or among the pivots
+                    upper = d + hi
+                    order = np.argsort(upper, axis=1)
+                    enough = np.cumsum(n[order], axis=1) >= k + 1
+                    at = enough.argmax(axis=1)
+                    bound = np.take_along_axis(np.take_along_axis(upper, order, 1), at[:, None], 1)[:, 0]
+                    bound = np.where(enough.any(axis=1), bound, np.inf)
+                    if mine.sum() > k:
+                        others = np.where(some["vid"].to_numpy()[:, None] == pivot_id[mine], np.inf, every[:, mine])
+                        bound = np.minimum(bound, np.partition(others, k - 1, axis=1)[:, k - 1])
+                    bound = bound * (1 + 1e-9) + 1e-9
+                    lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
+                    row, col = np.nonzero(lower <= bound[:, None])
+                    yield pd.DataFrame(
+                        {"g": g, "vid": some["vid"].to_numpy()[row], "v": some["v"].to_numpy()[row], "cell": cell[col].astype("int32"), "blocks": -(-n[col] // _BLOCK)}
+                    )
 
     size_of = spark.createDataFrame(
         [(g, int(c), int(-(-n // _BLOCK)), int(-(-sizes[g] // _QUERY_BLOCK))) for g, t in table.items() for c, n in zip(t["cell"], t["n"])],

@@ -10,10 +10,11 @@ from packetloom.operators import models as ml
 from packetloom.operators import prep, sampling, schema
 from packetloom.operators.evaluate import binary_rates, classification_report, metric_row
 from packetloom.operators.flows import flow_features, to_unified
+from packetloom.operators.neighbours import oversample
 from packetloom.operators.schema import FEATURES
 from packetloom.operators.summaries import top_features
 from packetloom.plans.registry import query
-from packetloom.plans.views import KEY, NUM, SHARED, Views
+from packetloom.plans.views import FLOWS, KEY, NUM, SHARED, Views, rounded
 from packetloom.sources.tables import read_csv, write_csv
 from packetloom.streaming.flows import FlowStream, start, write_verdicts
 
@@ -67,6 +68,21 @@ def train_gbt_weighted(v: Views):
     return classification_report(ml.score(model, test), "code", "pred")
 
 
+@query()
+def train_gbt_oversampled(v: Views):
+    """Several classes of points, the small ones raised to the size of the largest first."""
+    points = v.points()
+    train, test = sampling.stratified_split(points, "label", ["vec_id"])
+    sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    small = {c: max(sizes.values()) for c in sizes if sizes[c] < max(sizes.values())}
+    extra = oversample(train, "vec_id", "v", "label", small, 3)
+    names = [f"v{i}" for i in range(16)]
+    columns = [F.get("v", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]
+    pooled = schema.union_all(train.select("label", *columns), extra.select("label", *columns))
+    model = ml.train(pooled, names, "label", ml.multiclass(ml.boosted_trees(trees=5, depth=3)))
+    return classification_report(ml.score(model, test.select("label", *columns)), "label", "pred")
+
+
 @query()
 def train_gbt_binary(v: Views):
     p = _prepared(v)
@@ -195,8 +211,9 @@ def model_roundtrip(v: Views):
     return rates.select("accuracy", "f1", differing.alias("differing_rows"))
 
 
-@query()
+@query(f"""WITH {FLOWS}, m AS (SELECT {', '.join(f'avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd' for c in NUM)} FROM flows)
+SELECT {', '.join(KEY)}, {', '.join(f'round(({c} - {c}_mean) / {c}_sd, 4) + 0.0 AS {c}' for c in NUM)} FROM flows, m""")
 def scaler_roundtrip(v: Views):
     path = scratch_path(v.spark, "scaler")
     prep.Scaler.fit(v.flows(), NUM).save(path)
-    return prep.Scaler.load(v.spark, path).transform(v.flows().select(*KEY, *NUM))
+    return rounded(prep.Scaler.load(v.spark, path).transform(v.flows().select(*KEY, *NUM)), 4)

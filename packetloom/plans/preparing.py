@@ -129,10 +129,10 @@ _PERM_KEY = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
 
 
 @query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y
-  FROM lineitem ORDER BY {MD5_KEY} LIMIT 1000),
+  FROM lineitem ORDER BY {MD5_KEY} LIMIT 10000),
 a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}) - 1 AS pos FROM s),
 base AS (SELECT avg(CASE WHEN y = {_RULE.format(q='l_quantity', d='l_discount', t='l_tax')} THEN 1 ELSE 0 END) AS acc FROM s),
-c AS (SELECT a.*, run, feature FROM a, (SELECT unnest(range(0, 5)) AS run), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature)),
+c AS (SELECT a.*, run, feature FROM a, (SELECT unnest(range(0, 10)) AS run), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature)),
 d AS (SELECT run, feature, CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END AS donor,
   row_number() OVER (PARTITION BY run, feature ORDER BY {_PERM_KEY}) - 1 AS pos FROM c),
 x AS (SELECT run, feature, y, CASE WHEN feature = 'l_quantity' THEN donor ELSE l_quantity END AS q,
@@ -141,7 +141,7 @@ p AS (SELECT feature, run, avg(CASE WHEN y = {_RULE.format(q='q', d='d', t='t')}
 SELECT feature, round(avg((SELECT acc FROM base) - acc), 6) AS importance, round(stddev_pop((SELECT acc FROM base) - acc), 6) AS sd FROM p GROUP BY feature""")
 def permutation_importance(v: Views):
     df = v.binary_flows().drop("label")
-    return rounded(permute(_rule, df, ["l_quantity", "l_discount", "l_tax"], "y", KEY, repeats=5, rows=1000))
+    return rounded(permute(_rule, df, ["l_quantity", "l_discount", "l_tax"], "y", KEY, repeats=10, rows=10_000))
 
 
 _PTS = "pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"

@@ -57,6 +57,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["file_inventory", "synthetic_flows", "scaler_roundtrip"])
+@pytest.mark.parametrize("name", ["file_inventory", "synthetic_flows"])
 def test_rows_only(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
