@@ -67,14 +67,19 @@ def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Sca
     return Pipeline(stages=stages).fit(data)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds ``pred``, and where the model gives probabilities ``score`` (of class 1) and ``confidence``."""
+def score(model: PipelineModel, df: DataFrame, confidence: bool = False) -> DataFrame:
+    """Adds ``pred`` and, where the model gives probabilities, ``score`` (of class 1).
+
+    ``confidence`` is the probability of the predicted class, four decimals.
+    """
     out = model.transform(df)
     extra = ["features", "rawPrediction", "probability", "prediction"]
     cols = [F.col("prediction").cast("int").alias("pred")]
     if "probability" in out.columns:
         p = vector_to_array("probability")
-        cols += [p[1].alias("score"), F.round(F.element_at(p, F.col("prediction").cast("int") + 1), 4).alias("confidence")]
+        cols.append(p[1].alias("score"))
+        if confidence:
+            cols.append(F.round(F.get(p, F.col("prediction").cast("int")), 4).alias("confidence"))
     keep = [c for c in out.columns if c not in extra and not c.endswith("__scaled")]
     return out.select(*keep, *cols)
 

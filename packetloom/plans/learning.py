@@ -13,6 +13,7 @@ from packetloom.operators.flows import flow_features, to_unified
 from packetloom.operators.neighbours import oversample
 from packetloom.operators.schema import FEATURES
 from packetloom.operators.summaries import top_features
+from packetloom.plans.experiment import unified_experiment as experiment
 from packetloom.plans.registry import query
 from packetloom.plans.views import FLOWS, KEY, NUM, SHARED, Views, rounded
 from packetloom.sources.tables import read_csv, write_csv
@@ -162,7 +163,7 @@ def batch_score(v: Views):
 def score_confidence(v: Views):
     flows = v.binary_flows()
     model = ml.train(flows, NUM, "y", ml.random_forest(trees=10, depth=5), prep.Scaler.fit(flows, NUM))
-    return ml.score(model, flows).select(*KEY, ml.verdict().alias("label"), "confidence")
+    return ml.score(model, flows, confidence=True).select(*KEY, ml.verdict().alias("label"), "confidence")
 
 
 def _flow_model(v: Views):
@@ -217,3 +218,9 @@ def scaler_roundtrip(v: Views):
     path = scratch_path(v.spark, "scaler")
     prep.Scaler.fit(v.flows(), NUM).save(path)
     return rounded(prep.Scaler.load(v.spark, path).transform(v.flows().select(*KEY, *NUM)), 4)
+
+
+@query()
+def unified_experiment(v: Views):
+    run = experiment(v.aligned(), SHARED, "label", ["rid"], lambda: ml.boosted_trees(trees=5, depth=4), "A")
+    return run.summary

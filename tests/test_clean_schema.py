@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators import clean, prep, profile, schema
+from packetloom.sources import datasets as ds
 from packetloom.sources import tables as src
 
 INF, NAN = float("inf"), float("nan")
@@ -97,3 +98,31 @@ def test_readers(spark, tmp_path):
     assert {(r["file"], r["bytes"]) for r in inv.collect()} == {("mon.csv", 14), ("tue.csv", 16)}
     assert src.folder_summary(inv).first()["files"] == 2
     assert src.uniform_flows(spark, 10, ["x"]).filter((F.col("x") >= 0) & (F.col("x") < 1)).count() == 10
+
+
+def test_dataset_loaders(spark, tmp_path):
+    cic = tmp_path / "cic"
+    cic.mkdir()
+    head = ", ".join([*schema.UNIFIED, "Label"])
+    for i, label in enumerate([" BENIGN", "DDoS"]):
+        (cic / f"{i}.csv").write_text(head + "\n" + ",".join(["1.5"] * 12) + f",{label}\n")
+    df = ds.load_cic(spark, str(cic))
+    assert sorted((r["label"], r["label_text"]) for r in df.collect()) == [(0, "BENIGN"), (1, "DDoS")]
+    assert ds.align(df, "cic").columns == [*schema.FEATURES, "label"]
+
+    bot = tmp_path / "bot"
+    bot.mkdir()
+    names = ["pkSeqID", "saddr", *schema.BOTIOT_MAP, "attack", "category", "subcategory "]
+    (bot / "a.csv").write_text(",".join(names) + "\n" + ",".join(["7", "1.1.1.1", *["2"] * 12, "1", "DoS", "TCP"]) + "\n")
+    df = ds.load_botiot(spark, str(bot))
+    assert "saddr" not in df.columns and "subcategory" not in df.columns
+    assert tuple(ds.align(df, "botiot", {"flow_duration": 1e6}).first())[:2] == (2e6, 2.0) and df.first()["label"] == 1
+
+    row = spark.createDataFrame([(*[3.0] * 12, 0, "Normal")], [*schema.UNSW_MAP, "label", "attack_cat"])
+    row.write.parquet(str(tmp_path / "u1"))
+    row.write.parquet(str(tmp_path / "u2"))
+    df = ds.load_unsw(spark, str(tmp_path / "u1"), str(tmp_path / "u2"))
+    assert df.count() == 2 and {r["label_text"] for r in df.collect()} == {"Normal"} and ds.align(df, "unsw").first()["label"] == 0
+
+    (tmp_path / "ton.csv").write_text(",".join([*schema.TON_MAP, "label"]) + "\n" + ",".join(["4"] * 12 + ["1"]) + "\n")
+    assert ds.align(ds.load_ton(spark, str(tmp_path / "ton.csv")), "ton").first()["label"] == 1

@@ -10,6 +10,7 @@ from packetloom.operators.evaluate import binary_rates
 from packetloom.operators.flows import flow_features, to_unified
 from packetloom.operators.prep import Scaler, preprocess, with_class_weight
 from packetloom.operators.schema import FEATURES, MissingColumns
+from packetloom.plans.experiment import unified_experiment
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +99,13 @@ def test_verdict_per_flow(spark):
     out = ml.score_packets(model, packets)
     assert out.columns == ["flow_key", "duration_s", "pkt_count", "total_bytes", "pkts_per_sec", "prediction", "label"]
     assert out.count() == 7 and {r["prediction"] for r in out.collect()} <= {"ATTACK", "BENIGN"}
+
+
+def test_unified_experiment(rows):
+    shifted = rows.withColumn("a", F.col("a") + 20)
+    run = unified_experiment({"here": rows, "there": shifted}, FEATS, "y", ["id"], lambda: ml.boosted_trees(4, 3), "here")
+    got = {r["experiment"]: r for r in run.summary.collect()}
+    assert set(got) == {"baseline here", "baseline there (unseen)", "unified here", "unified there"}
+    assert got["baseline here"]["accuracy"] > 0.95 > got["baseline there (unseen)"]["accuracy"]
+    assert got["unified there"]["accuracy"] > 0.9 and got["unified there"]["sources"] == "here,there"
+    assert binary_rates(ml.score(run.deployable, rows), "y").first()["accuracy"] > 0.9
