@@ -17,8 +17,15 @@ from packetloom.functions.ordering import running_totals
 from packetloom.functions.scratch import materialize
 
 
-def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or []), F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
+def _total(weight: str | None, test: Column | None = None) -> Column:
+    """Rows, or the sum of their weights, that pass the test."""
+    if weight is None:
+        return F.count("*") if test is None else F.count_if(test)
+    return F.sum(F.col(weight) if test is None else F.when(test, F.col(weight)).otherwise(0))
+
+
+def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    return df.groupBy(*(by or []), F.col(y).alias("y"), F.col(pred).alias("pred")).agg(_total(weight).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, labels: list, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -46,14 +53,17 @@ def rates(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
     }
 
 
-def binary_rates(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None, max_fpr: float = 0.03) -> DataFrame:
-    """TN, FP, FN, TP, their rates, accuracy, F1, and whether the FPR target is met."""
+def binary_rates(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | None = None, max_fpr: float = 0.03, weight: str | None = None) -> DataFrame:
+    """TN, FP, FN, TP, their rates, accuracy, F1, and whether the FPR target is met.
+
+    ``weight`` counts a row as that many, also for rows counted beforehand.
+    """
     y_, p_ = F.col(y), F.col(pred)
     cells = df.groupBy(*(by or [])).agg(
-        F.count_if((y_ == 0) & (p_ == 0)).alias("tn"),
-        F.count_if((y_ == 0) & (p_ == 1)).alias("fp"),
-        F.count_if((y_ == 1) & (p_ == 0)).alias("fn"),
-        F.count_if((y_ == 1) & (p_ == 1)).alias("tp"),
+        _total(weight, (y_ == 0) & (p_ == 0)).alias("tn"),
+        _total(weight, (y_ == 0) & (p_ == 1)).alias("fp"),
+        _total(weight, (y_ == 1) & (p_ == 0)).alias("fn"),
+        _total(weight, (y_ == 1) & (p_ == 1)).alias("tp"),
     )
     found = rates(*[F.col(c) for c in ("tn", "fp", "fn", "tp")])
     return cells.select("*", *[c.alias(n) for n, c in found.items()], (found["fpr"] < max_fpr).alias("fpr_ok"))
@@ -115,15 +125,15 @@ def classification_report(
     return reduce(DataFrame.unionByName, [classes, summary, macro, weighted])
 
 
-def score_counts(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def score_counts(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Positives and negatives per distinct score."""
     return df.filter(F.col(score).isNotNull()).groupBy(*(by or []), F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
+        _total(weight, F.col(y) == 1).alias("pos"), _total(weight, F.col(y) != 1).alias("neg")
     )
 
 
-def _cumulated(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    counts = materialize(score_counts(df, y, score, by), "scores")  # one scan of the rows
+def _cumulated(df: DataFrame, y: str, score: str, by: list[str], weight: str | None = None) -> DataFrame:
+    counts = materialize(score_counts(df, y, score, by, weight), "scores")  # one scan of the rows
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     cum = running_totals(counts, by, "score", ["pos", "neg"])
     if by:
@@ -132,10 +142,10 @@ def _cumulated(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
     return cum.withColumns({"all_pos": F.lit(one["all_pos"]), "all_neg": F.lit(one["all_neg"])})
 
 
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, and the origin at infinity."""
     by = by or []
-    cum = _cumulated(df, y, score, by)
+    cum = _cumulated(df, y, score, by, weight)
     points = cum.select(
         *by, F.col("score").alias("threshold"), F.try_divide("cum_neg", "all_neg").alias("fpr"), F.try_divide("cum_pos", "all_pos").alias("tpr")
     )
@@ -144,22 +154,22 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] |
     return points.unionByName(origin)
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve by trapezoids.
 
     Each distinct score adds its negatives times the positives ranked above it
     plus half of its own, which is the trapezoid sum without a neighbour lookup.
     """
     by = by or []
-    cum = _cumulated(df, y, score, by)
+    cum = _cumulated(df, y, score, by, weight)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
     return cum.groupBy(*by).agg(F.try_divide(area, F.max("all_pos").cast("double") * F.max("all_neg")).alias("auc"))
 
 
-def pr_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None) -> DataFrame:
+def pr_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(threshold, precision, recall) for every distinct score, and the end point (1, 0)."""
     by = by or []
-    cum = _cumulated(df, y, score, by)
+    cum = _cumulated(df, y, score, by, weight)
     points = cum.select(
         *by,
         F.col("score").alias("threshold"),
@@ -223,12 +233,18 @@ def score_summary(df: DataFrame, pred: str = "pred", latency: str | None = None)
 
 
 def metric_row(df: DataFrame, y: str = "y", pred: str = "pred", score: str | None = "score", by: list[str] | None = None) -> DataFrame:
-    """Accuracy, F1 and AUC, one row per group: the row of a model comparison table."""
+    """Accuracy, F1 and AUC, one row per group: the row of a model comparison table.
+
+    Rows are scored and counted once, per truth, prediction and score.
+    """
     by = by or []
-    base = binary_rates(df, y, pred, by).select(*by, "accuracy", "f1")
     if score is None:
+        base = binary_rates(df, y, pred, by).select(*by, "accuracy", "f1")
         return base.withColumn("auc", F.lit(None).cast("double"))
-    area = roc_auc(df, y, score, by)
+    counts = df.groupBy(*by, F.col(y).alias("y"), F.col(pred).alias("pred"), F.col(score).alias("score")).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "outcomes")
+    base = binary_rates(counts, "y", "pred", by, weight="n").select(*by, "accuracy", "f1")
+    area = roc_auc(counts, "y", "score", by, "n")
     if by:
         return attach(base, area, by)
     return base.withColumn("auc", area.select("auc").scalar())

@@ -156,9 +156,9 @@ def compare_models(
         model = train(data, features, label, est)
         took = round(time.time() - began, 2)
         for ds, test in tests.items():
-            m = metric_row(score(model, test), label, "pred", "score")
-            rows.append(m.select(F.lit(name).alias("model"), F.lit(ds).alias("dataset"), "accuracy", "f1", "auc", F.lit(took).alias("train_s")))
-    return reduce(DataFrame.unionByName, rows)
+            m = metric_row(score(model, test), label, "pred", "score").first()
+            rows.append((name, ds, m["accuracy"], m["f1"], m["auc"], took))
+    return train_rows.sparkSession.createDataFrame(rows, "model string, dataset string, accuracy double, f1 double, auc double, train_s double")
 
 
 def cross_dataset(model: PipelineModel, home: DataFrame, away: DataFrame, label: str) -> DataFrame:
@@ -166,10 +166,13 @@ def cross_dataset(model: PipelineModel, home: DataFrame, away: DataFrame, label:
 
     The model's pipeline holds the home scaler, so both sets are scaled by it.
     """
-    a = binary_rates(score(model, home), label).select(F.col("accuracy").alias("home_accuracy"))
-    b = binary_rates(score(model, away), label).select(F.col("accuracy").alias("away_accuracy"), F.col("f1").alias("away_f1"))
-    acc = a.select("home_accuracy").scalar()
-    return b.select(acc.alias("home_accuracy"), "away_accuracy", "away_f1", ((acc - F.col("away_accuracy")) * 100).alias("gap_points"))
+    acc = binary_rates(score(model, home), label).select("accuracy").scalar()
+    return binary_rates(score(model, away), label).select(
+        acc.alias("home_accuracy"),
+        F.col("accuracy").alias("away_accuracy"),
+        F.col("f1").alias("away_f1"),
+        ((acc - F.col("accuracy")) * 100).alias("gap_points"),
+    )
 
 
 def learning_curve(
@@ -180,18 +183,11 @@ def learning_curve(
     for f in fractions:
         part = sample_fraction(train_rows, label, key, f)
         model = train(part, features, label, estimator())
-        tr, te = binary_rates(score(model, part), label), binary_rates(score(model, test_rows), label)
-        out.append(
-            tr.select(
-                F.lit(f).alias("fraction"),
-                (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"),
-                F.col("accuracy").alias("train_acc"),
-                te.select("accuracy").scalar().alias("test_acc"),
-                F.col("f1").alias("train_f1"),
-                te.select("f1").scalar().alias("test_f1"),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+        tr, te = (binary_rates(score(model, d), label).first() for d in (part, test_rows))
+        rows = tr["tn"] + tr["fp"] + tr["fn"] + tr["tp"]
+        out.append((f, rows, tr["accuracy"], te["accuracy"], tr["f1"], te["f1"]))
+    ddl = "fraction double, rows bigint, train_acc double, test_acc double, train_f1 double, test_f1 double"
+    return train_rows.sparkSession.createDataFrame(out, ddl)
 
 
 def _ranked(sample: DataFrame, key: list[str], seed: int | str, out: str, by: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ from packetloom.operators.sampling import mark_split
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """(label, code): codes from 0 in the order of the label text. One row per class."""
     classes = df.filter(F.col(label).isNotNull()).select(label).distinct()
-    return classes.withColumn("code", F.row_number().over(W.orderBy(label)) - 1)
+    codes = classes.withColumn("code", F.row_number().over(W.orderBy(label)) - 1)
+    return bounded(codes)[0]  # computed once, used by every encode and decode
 
 
 def label_encode(df: DataFrame, label: str, codes: DataFrame, out: str = "label_code") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -39,16 +38,8 @@ def unified_experiment(
     rows = []
 
     def note(name: str, scored: DataFrame, trained_on: list[str]) -> None:
-        rows.append(
-            metric_row(scored, label).select(
-                F.lit(name).alias("experiment"),
-                F.round("accuracy", 4).alias("accuracy"),
-                F.round("f1", 4).alias("f1"),
-                F.round("auc", 4).alias("auc"),
-                F.lit(len(features)).alias("features"),
-                F.lit(",".join(trained_on)).alias("sources"),
-            )
-        )
+        m = metric_row(scored, label).first()
+        rows.append((name, m["accuracy"], m["f1"], m["auc"], len(features), ",".join(trained_on)))
 
     at_home = parts[home]
     baseline = ml.train(at_home.train, features, label, estimator())
@@ -66,4 +57,6 @@ def unified_experiment(
     held = {n: p.rows.select(*key, "is_test") for n, p in parts.items()}
     raw = union_sources({n: ml.keep_finite(df, [*features, label]).join(held[n].filter(~F.col("is_test")), key, "left_semi") for n, df in sources.items()})
     deployable = ml.train(raw, features, label, estimator(), Scaler.fit(raw, features))
-    return Experiment(reduce(DataFrame.unionByName, rows), baseline, unified, deployable)
+    ddl = "experiment string, accuracy double, f1 double, auc double, features int, sources string"
+    summary = raw.sparkSession.createDataFrame(rows, ddl)
+    return Experiment(summary.withColumns({c: F.round(c, 4) for c in ("accuracy", "f1", "auc")}), baseline, unified, deployable)

@@ -56,7 +56,7 @@ def read_csv_tagged(
     name of a row's file decides.
     """
     df = _csv(spark, schema).csv(list(files.values()))
-    name = F.col("_metadata.file_path")
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     expr = None
     for key, path in sorted(files.items(), key=lambda kv: -len(kv[1])):
         hit = F.contains(name, F.lit(path.split("://")[-1].rstrip("/")))

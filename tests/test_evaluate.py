@@ -63,3 +63,15 @@ def test_perfect_score(spark):
     assert (r["accuracy"], r["f1"], r["auc"]) == (1.0, 1.0, 1.0)
     s = ev.score_summary(df).first()
     assert (s["total"], s["benign"], s["attack_pct"]) == (2, 1, 50.0)
+
+
+def test_weights_count_rows_beforehand(spark):
+    rows = [(1, 1, 0.9)] * 3 + [(0, 1, 0.8)] * 2 + [(0, 0, 0.3)] * 4 + [(1, 0, 0.2)]
+    df = spark.createDataFrame(rows, "y int, pred int, score double")
+    counted = df.groupBy("y", "pred", "score").agg(F.count("*").alias("n"))
+    assert ev.binary_rates(counted, weight="n").first() == ev.binary_rates(df).first()
+    assert ev.roc_auc(counted, weight="n").first() == ev.roc_auc(df).first()
+    assert sorted(map(tuple, ev.confusion_counts(counted, weight="n").collect())) == sorted(map(tuple, ev.confusion_counts(df).collect()))
+    key = lambda r: r["threshold"] or 0
+    assert sorted(ev.roc_curve(counted, weight="n").collect(), key=key) == sorted(ev.roc_curve(df).collect(), key=key)
+    assert sorted(ev.pr_curve(counted, weight="n").collect(), key=key) == sorted(ev.pr_curve(df).collect(), key=key)
