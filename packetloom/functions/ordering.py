@@ -33,6 +33,14 @@ def digest_unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
 
 
+def digest_normal(text: Column) -> Column:
+    """Standard normal number out of the md5 of ``text`` (polar form of two uniforms)."""
+    h = F.md5(text)
+    u = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") + 1) / F.lit(4294967296.0)
+    w = F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.sqrt(-2 * F.log(u)) * F.cos(w * 2 * F.pi())
+
+
 def digest_int(text: Column, n: Column | int) -> Column:
     """Integer in [0, n) out of the md5 of ``text``."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % n

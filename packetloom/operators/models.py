@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from packetloom.functions.ordering import digest
+from packetloom.functions.ordering import digest, digest_int
 from packetloom.functions.scratch import materialize, spread
 from packetloom.operators.clean import keep_finite
 from packetloom.operators.evaluate import accuracy, binary_rates, metric_row, score_summary
@@ -233,7 +233,7 @@ def attribution(
     n = sample.agg(F.count("*")).first()[0]
     draw = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     # another row of the sample, a different step for each draw
-    draw = draw.withColumn("other", (F.col("at") + 1 + F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(max(n - 1, 1)))) % n)
+    draw = draw.withColumn("other", (F.col("at") + 1 + digest_int(F.concat_ws(":", "draw", F.lit(seed)), max(n - 1, 1))) % n)
     back = numbered.select(F.col("at").alias("other"), *[F.col(f).alias(f"{f}__b") for f in features])
     mixes = draw.join(back, "other").withColumn(
         "mix",

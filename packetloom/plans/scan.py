@@ -89,11 +89,21 @@ def json_summary(v: Views):
     return v.spark.read.schema("total bigint, normal bigint, attack bigint").json(path)
 
 
-@query()
+_UNITS = ", ".join(f"md5(label || ':' || no || ':{c}:42') AS h_{c}" for c in NUM)
+_DRAW = ", ".join(
+    f"round(sqrt(-2 * ln((CAST('0x' || substr(h_{c}, 1, 8) AS BIGINT) + 1) / 4294967296.0)) "
+    f"* cos(CAST('0x' || substr(h_{c}, 9, 8) AS BIGINT) / 4294967296.0 * 2 * pi()) * {c}_sd + {c}_mean, 4) + 0.0 AS {c}"
+    for c in NUM
+)
+
+
+@query(f"""WITH {FLOWS}, s AS (SELECT label, count(*) AS rows, {', '.join(f'avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd' for c in NUM)} FROM flows GROUP BY label),
+r AS (SELECT *, unnest(range(1, rows + 1)) AS no FROM s), h AS (SELECT *, {_UNITS} FROM r)
+SELECT label, no, {_DRAW} FROM h""")
 def synthetic_flows(v: Views):
     aggs = [f(c).alias(f"{c}_{n}") for c in NUM for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))]
     stats = v.flows().groupBy("label").agg(F.count("*").alias("rows"), *aggs)
-    return src.synthetic_flows(stats, "rows", NUM, ["label"])
+    return rounded(src.synthetic_flows(stats, "rows", NUM, ["label"]), 4)
 
 
 @query(f"""WITH {FLOWS}, ranked AS (

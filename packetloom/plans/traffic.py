@@ -12,7 +12,7 @@ from packetloom.plans.views import FEATURES_SQL, PACKETS, Views, rounded
 from packetloom.sources import captures as cap
 from packetloom.sources.captures import capture_bytes, split_captures
 from packetloom.sources.tables import as_json, preview
-from packetloom.streaming.flows import FlowStream, start, write_features
+from packetloom.streaming.flows import FlowStream, session_features, start, write_features
 
 _F = f"WITH {PACKETS}, {FEATURES_SQL}"
 _FEATURE_COLS = (
@@ -94,3 +94,22 @@ def stream_flow_features(v: Views):
     done.awaitTermination()
     stream.flush(v.spark, done.lastProgress["batchId"])
     return v.spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out").drop("flow_no")
+
+
+@query(f"""WITH {PACKETS}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY flow_key ORDER BY ts) AS gap0 FROM keyed),
+s AS (SELECT *, sum(CASE WHEN gap0 > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY ts) AS flow_no FROM g0),
+f AS (SELECT flow_key, flow_no, proto, greatest(max(ts) - min(ts), 1e-9) AS d, max(ts) AS last_ts, count(*) AS n, sum(length)::BIGINT AS tb, avg(length) AS ml,
+  stddev_pop(length) AS sl, bit_or(flags) AS fl FROM s GROUP BY ALL HAVING count(*) >= 2)
+SELECT flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb AS total_bytes, round(ml, 2) AS mean_pkt_len, round(sl, 2) AS std_pkt_len,
+  round(d / (n - 1), 6) AS mean_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
+  CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin
+FROM f WHERE last_ts + {_IDLE} <= (SELECT max(ts) - 86400 FROM packets)""")
+def stream_sessions(v: Views):
+    """Sessions the watermark has passed when all packets are in."""
+    base = scratch_path(v.spark, "sessions")
+    v.packets().write.parquet(f"{base}/in")
+    packets = v.spark.readStream.schema(v.packets().schema).parquet(f"{base}/in")
+    flows = session_features(packets, f"{_IDLE} seconds", "1 day")
+    run = flows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+    run.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    return v.spark.read.parquet(f"{base}/out")

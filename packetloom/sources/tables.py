@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.functions.ordering import digest_normal, digest_unit
 from packetloom.operators.schema import trim_names
 
 CORRUPT = "_corrupt_record"
@@ -144,20 +145,24 @@ def synthetic_flows(
 
     ``stats`` holds one row per class with ``<feature>_mean``, ``<feature>_sd``
     and the number of rows to draw. Rows are made in chunks that spread over the
-    cluster, whatever the largest class is.
+    cluster, whatever the largest class is. Values follow from the class, row
+    number and feature, so a task that runs again makes the same rows.
     """
     blocks = stats.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col(rows) / chunk).cast("int") - 1)))
-    size = F.least(F.lit(chunk), F.col(rows) - F.col("__blk").cast("bigint") * chunk).cast("int")
+    start = F.col("__blk").cast("bigint") * chunk
+    size = F.least(F.lit(chunk), F.col(rows) - start).cast("int")
     out = blocks.repartition(*by, "__blk").withColumn("__i", F.explode(F.sequence(F.lit(1), size)))
+    text = [F.concat_ws(":", *by, (start + F.col("__i")).cast("string"), F.lit(c), F.lit(seed)) for c in features]
     return out.select(
         *by,
-        *[(F.randn(seed + i) * F.col(f"{c}_sd") + F.col(f"{c}_mean")).alias(c) for i, c in enumerate(features)],
+        (start + F.col("__i")).alias("no"),
+        *[(digest_normal(t) * F.col(f"{c}_sd") + F.col(f"{c}_mean")).alias(c) for c, t in zip(features, text)],
     )
 
 
 def uniform_flows(spark: SparkSession, n: int, features: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows of uniform [0, 1) features."""
-    return spark.range(n).select("id", *[F.rand(seed + i).alias(c) for i, c in enumerate(features)])
+    return spark.range(n).select("id", *[(digest_unit(F.concat_ws(":", F.col("id"), F.lit(c), F.lit(seed))) * (1 - 2**-32)).alias(c) for c in features])
 
 
 def lookup_by_key(rows: DataFrame, table: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.evaluate import score_summary
-from packetloom.operators.flows import CHUNK, features_of, flow_key, flow_parts, join_parts, to_unified
+from packetloom.operators.flows import CHUNK, FIN, KEY, MIN_DURATION, SYN, features_of, flow_key, flow_key_text, flow_parts, join_parts, to_unified
 from packetloom.operators.models import score, verdict
 
 OnClosed = Callable[[DataFrame, int], None]
@@ -96,6 +96,46 @@ def write_verdicts(out: str, model: PipelineModel) -> OnClosed:
     return sink
 
 
+def session_features(packets: DataFrame, idle: str = "2 minutes", delay: str = "1 minute") -> DataFrame:
+    """Flow features of a packet stream by session windows and built-in aggregates only.
+
+    The state of an open flow is a handful of numbers. Packets count in time
+    order here, so the mean gap is the duration over the gaps; the spread of the
+    gaps needs the packets in order and is left to ``FlowStream``. Late packets
+    go by the watermark; append mode gives a flow once the watermark passed it.
+    """
+    keyed = flow_key(packets.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("bigint"))))
+    flows = (
+        keyed.withWatermark("event_time", delay)
+        .groupBy(F.session_window("event_time", idle).alias("session"), *KEY)
+        .agg(
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+            F.count("*").alias("n"),
+            F.sum("length").alias("total_bytes"),
+            F.avg("length").alias("mean_len"),
+            F.stddev_pop("length").alias("sd_len"),
+            F.bit_or("flags").alias("flags"),
+        )
+        .filter(F.col("n") >= 2)
+    )
+    duration = F.greatest(F.col("last_ts") - F.col("first_ts"), F.lit(MIN_DURATION))
+    return flows.select(
+        flow_key_text().alias("flow_key"),
+        "proto",
+        F.round(duration, 6).alias("duration"),
+        F.col("n").alias("pkt_count"),
+        "total_bytes",
+        F.round("mean_len", 2).alias("mean_pkt_len"),
+        F.round("sd_len", 2).alias("std_pkt_len"),
+        F.round(duration / (F.col("n") - 1), 6).alias("mean_iat"),
+        F.round(F.col("total_bytes") / duration, 2).alias("bytes_per_sec"),
+        F.round(F.col("n") / duration, 2).alias("pkts_per_sec"),
+        (F.col("flags").bitwiseAND(SYN) != 0).cast("int").alias("has_syn"),
+        (F.col("flags").bitwiseAND(FIN) != 0).cast("int").alias("has_fin"),
+    )
+
+
 def start(packets: DataFrame, stream: FlowStream, checkpoint: str, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
     """Run the stream: until stopped, or with ``once`` over what is there now."""
     writer = packets.writeStream.foreachBatch(stream).option("checkpointLocation", checkpoint)
