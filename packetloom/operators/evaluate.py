@@ -32,7 +32,7 @@ def confusion_matrix(df: DataFrame, labels: list, y: str = "y", pred: str = "pre
     """One row per true class, one column ``pred_<label>`` per predicted class."""
     counts = confusion_counts(df, y, pred)
     cells = [F.coalesce(F.sum(F.when(F.col("pred") == v, F.col("n"))), F.lit(0)).alias(f"pred_{v}") for v in labels]
-    found = counts.groupBy("y").agg(*cells)
+    found = counts.filter(F.col("y").isin(labels)).groupBy("y").agg(*cells)  # a row per listed label at most
     rows = df.sparkSession.createDataFrame([(v,) for v in labels], f"y {df.schema[y].dataType.simpleString()}")
     return rows.join(F.broadcast(found), "y", "left").na.fill(0, [f"pred_{v}" for v in labels])
 

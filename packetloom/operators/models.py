@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +84,18 @@ def score(model: PipelineModel, df: DataFrame, confidence: bool = False) -> Data
     return out.select(*keep, *cols)
 
 
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds ``pred`` only: the same labels as ``score`` without building score vectors."""
+    *before, learner = model.stages
+    unused = [learner.getParam(n) for n in ("rawPredictionCol", "probabilityCol") if learner.hasParam(n)]
+    if not isinstance(learner, OneVsRestModel):
+        learner = learner.copy({p: "" for p in unused})
+    out = df
+    for stage in [*before, learner]:
+        out = stage.transform(out)
+    return out.select(*df.columns, F.col("prediction").cast("int").alias("pred"))
+
+
 def verdict(pred: str = "pred"):
     return F.when(F.col(pred) == 1, "ATTACK").otherwise("BENIGN")
 
@@ -111,7 +123,7 @@ def score_table(model: PipelineModel, flows: DataFrame, features: list[str] | No
     feats = features or FEATURES
     flows = trim_names(flows)
     require(flows, feats)
-    scored = score(model, keep_finite(flows, feats))
+    scored = predict(model, keep_finite(flows, feats))
     return scored, score_summary(scored)
 
 
@@ -120,7 +132,7 @@ def score_packets(model: PipelineModel, packets: DataFrame, by: list[str] | None
     flows = flow_features(packets, by)
     shown = ["flow_key", "duration", "pkt_count", "total_bytes", "pkts_per_sec"]
     rows = to_unified(flows, [*(by or []), *shown])
-    scored = score(model, rows)
+    scored = predict(model, rows)
     return scored.select(
         *(by or []),
         "flow_key",

@@ -248,7 +248,7 @@ def oversample_and_clean(df: DataFrame, id_col: str, vector: str, label: str, k:
     top = max(sizes.values())
     extra = oversample(df, id_col, vector, label, {c: top for c, n in sizes.items() if n < top}, k, seed)
     # ids of synthetic rows: negative, out of the digest of base and copy
-    new_id = -(F.abs(F.xxhash64("base", "copy") % F.lit(1 << 62)) + 1)
+    new_id = -(F.conv(F.substring(F.md5(F.concat_ws(":", "base", "copy")), 1, 15), 16, 10).cast("bigint") + 1)
     rows = df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vector).cast("array<double>").alias(vector), label)
     pooled = rows.unionByName(extra.select(new_id.alias(id_col), vector, label))
     return drop_tomek(materialize(pooled, "balanced"), id_col, vector, label)

@@ -181,9 +181,22 @@ def smote_targeted(v: Views):
     return rounded(rows.select("label", "base", "copy", "neighbour", "u", F.get("v", F.lit(0)).alias("x1"), F.get("v", F.lit(63)).alias("x64")))
 
 
-@query()
+@query(f"""WITH {_WITHIN}, sizes AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+need AS (SELECT label, n, (SELECT max(n) FROM sizes) - n AS m FROM sizes),
+based AS (SELECT p.vec_id, p.label, p.v, m // n + CASE WHEN row_number() OVER (PARTITION BY p.label ORDER BY md5(p.vec_id || ':42')) <= m % n THEN 1 ELSE 0 END AS times
+  FROM pts p JOIN need USING (label) WHERE m > 0),
+copies AS (SELECT vec_id AS base, label, v, unnest(range(1, times + 1)) AS copy FROM based),
+drawn AS (SELECT *, 1 + CAST('0x' || substr(md5(base || ':' || copy || ':42:n'), 1, 8) AS BIGINT) % 3 AS rank,
+  CAST('0x' || substr(md5(base || ':' || copy || ':42:u'), 1, 8) AS BIGINT) / 4294967295.0 AS u FROM copies),
+made AS (SELECT -(CAST('0x' || substr(md5(d.base || ':' || d.copy), 1, 15) AS BIGINT) + 1) AS vec_id,
+  list_transform(range(1, len(d.v) + 1), lambda i: d.v[i] + d.u * (q.v[i] - d.v[i])) AS v, d.label
+  FROM drawn d JOIN near n ON n.vec_id = d.base AND n.rank = d.rank JOIN pts q ON q.vec_id = n.neighbour),
+pool AS (SELECT vec_id, v, label FROM pts UNION ALL SELECT vec_id, v, label FROM made),
+nn AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS other_label FROM pool a JOIN pool b ON a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) = 1),
+gone AS (SELECT n.vec_id FROM nn n JOIN nn m ON n.vec_id = m.other AND n.other = m.vec_id WHERE n.label <> n.other_label)
+SELECT vec_id, label FROM pool WHERE vec_id NOT IN (SELECT vec_id FROM gone)""")
 def oversample_and_clean(v: Views):
-    rows = nb.oversample_and_clean(v.points(), "vec_id", "v", "label", 3)
-    return rows.groupBy("label").agg(F.count("*").alias("rows"))
+    return nb.oversample_and_clean(v.points(), "vec_id", "v", "label", 3).select("vec_id", "label")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.evaluate import score_summary
 from packetloom.operators.flows import CHUNK, FIN, KEY, MIN_DURATION, SYN, features_of, flow_key, flow_key_text, flow_parts, join_parts, to_unified
-from packetloom.operators.models import score, verdict
+from packetloom.operators.models import predict, verdict
 
 OnClosed = Callable[[DataFrame, int], None]
 
@@ -87,7 +87,7 @@ def write_verdicts(out: str, model: PipelineModel) -> OnClosed:
 
     def sink(flows: DataFrame, batch: int) -> None:
         rows = to_unified(features_of(flows), ["flow_key", "pkt_count"])
-        scored = score(model, rows).withColumn("prediction", verdict())
+        scored = predict(model, rows).withColumn("prediction", verdict())
         base = out.rstrip("/")
         scored.write.mode("overwrite").parquet(f"{base}/flows/batch={batch}")
         done = flows.sparkSession.read.parquet(f"{base}/flows/batch={batch}")

@@ -35,6 +35,9 @@ def test_learns_scores_and_reloads(rows, tmp_path):
         assert binary_rates(scored, "y").first()["accuracy"] > 0.95
         assert scored.filter((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
         ml.save_model(model, str(tmp_path / est.uid))
+        labels = ml.predict(model, p.test)
+        assert labels.columns == [*p.test.columns, "pred"]
+        assert labels.select("id", "pred").exceptAll(scored.select("id", "pred")).count() == 0
         again = ml.score(ml.load_model(str(tmp_path / est.uid)), p.test)
         assert scored.select("id", "pred", "score").exceptAll(again.select("id", "pred", "score")).count() == 0
     top = ml.feature_importance(model, FEATS, rows.sparkSession).orderBy(F.desc("importance")).first()
@@ -59,6 +62,7 @@ def test_multiclass(rows):
     model = ml.train(coded, FEATS, "code", ml.multiclass(ml.boosted_trees(3, 3)))
     scored = ml.score(model, coded)
     assert "score" not in scored.columns
+    assert ml.predict(model, coded).select("id", "pred").exceptAll(scored.select("id", "pred")).count() == 0
     assert scored.filter(F.col("pred") == F.col("code")).count() > 1400
 
 
