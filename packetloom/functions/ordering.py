@@ -81,7 +81,8 @@ def mark_quota(
     all their columns and counted as copies, so sizes stay exact.
     """
     spark_cols = df.columns
-    if not by:
+    whole = not by
+    if whole:
         df = df.withColumn("__all", F.lit(0))
         by = ["__all"]
     keyed = df.withColumn("__h", digest(key, seed))
@@ -113,7 +114,12 @@ def mark_quota(
         .filter((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__n") < F.col("__left")))
         .select(*by, F.col("__h").alias("__cut"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__take"))
     )
-    marked = attach(keyed, cuts, by, "left")
+    if whole:  # a single cut-off, as literals
+        cut = cuts.first()
+        cut, take = (cut["__cut"], cut["__take"]) if cut else (None, 0)
+        marked = keyed.withColumns({"__cut": F.lit(cut).cast("string"), "__take": F.lit(take).cast("bigint")})
+    else:
+        marked = attach(keyed, cuts, by, "left")
     if unique_key:
         return marked.select(*spark_cols, F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)).alias(out))
 

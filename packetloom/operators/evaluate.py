@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from packetloom.functions.dims import attach
+from packetloom.functions.dims import attach, bounded
 from packetloom.functions.ordering import running_totals
 from packetloom.functions.scratch import materialize
 
@@ -75,7 +75,7 @@ def accuracy(df: DataFrame, y: str = "y", pred: str = "pred", by: list[str] | No
 
 def _class_scores(df: DataFrame, y: str, pred: str, by: list[str]) -> DataFrame:
     """Precision, recall, F1 and support of every class that occurs on either side."""
-    counts = confusion_counts(df, y, pred, by)
+    counts, _ = bounded(confusion_counts(df, y, pred, by))  # the rows are read once, for all report lines
     truth = counts.select(*by, F.col("y").alias("label"), F.col("n").alias("support"), F.lit(0).alias("predicted"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("hit"))
     guess = counts.select(*by, F.col("pred").alias("label"), F.lit(0).alias("support"), F.col("n").alias("predicted"), F.lit(0).alias("hit"))
     per = truth.unionByName(guess).groupBy(*by, "label").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hit").alias("hit"))

@@ -33,7 +33,7 @@ def label_decode(df: DataFrame, code: str, codes: DataFrame, out: str = "label_t
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, class_rows, weight): rows / (classes * class rows)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("class_rows"))
+    counts, _ = bounded(df.groupBy(label).agg(F.count("*").alias("class_rows")))
     totals = counts.agg(F.sum("class_rows").alias("rows"), F.count("*").alias("classes"))
     share = totals.select((F.col("rows") / F.col("classes")).alias("s")).scalar()
     return counts.withColumn("weight", share / F.col("class_rows"))

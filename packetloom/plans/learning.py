@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.functions.scratch import scratch_path
+from packetloom.functions.scratch import materialize, scratch_path, spread
 from packetloom.operators import models as ml
 from packetloom.operators import prep, sampling, schema
 from packetloom.operators.evaluate import binary_rates, classification_report, metric_row
@@ -136,7 +136,8 @@ def model_comparison(v: Views):
 @query()
 def cross_dataset(v: Views):
     raw = v.aligned()
-    train, test = sampling.stratified_split(raw["A"], "label", ["rid"])
+    split = materialize(spread(sampling.mark_split(raw["A"], "label", ["rid"])), "split")
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     model = ml.train(train, SHARED, "label", ml.boosted_trees(**_BOOST), prep.Scaler.fit(train, SHARED))
     return ml.cross_dataset(model, test, raw["B"], "label")
 
