@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.words import Batch, Codes, bounded_batches, bucket, fold, sample
+from packetloom.llm.words import Batch, Codes, bounded_batches, bucket, fit_in_task, fold, sample
 
 BITS = 15
 CHUNK = 64
@@ -254,8 +254,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Fit on at most ``per_language`` whole texts of every language of ``docs``."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("doc_id"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    got = sample(rows, "lang", per_language).select("doc_id", "text", "lang").toPandas().sort_values(["lang", "doc_id", "text"])
-    return fit(got["text"].tolist(), got["lang"].tolist())
+
+    def fitted(got: pd.DataFrame) -> Model:
+        got = got.sort_values(["lang", "doc_id", "text"])
+        return fit(got["text"].tolist(), got["lang"].tolist())
+
+    return fit_in_task(sample(rows, "lang", per_language), fitted)
 
 
 def label(text: Column, model: Model) -> Column:

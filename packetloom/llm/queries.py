@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import covertree, langid, packing, sharding, simhash
+from packetloom.llm import cotrain, covertree, langid, packing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,13 @@ def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,17 +19,17 @@ _PRIME = np.uint64(1099511628211)
 class Batch:
     """Texts as runs of word numbers: text i has ``words[ends[i - 1]:ends[i]]``; ``vocab`` lists the distinct words."""
 
-    def __init__(self, texts: Iterable[str | None]):
+    def __init__(self, texts: Iterable[str | None], split: Callable[[str], list[str]] = _LETTERS.findall):
         vocab: dict[str, int] = {}
         number = vocab.setdefault
-        runs = [np.fromiter((number(w, len(vocab)) for w in _LETTERS.findall(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        runs = [np.fromiter((number(w, len(vocab)) for w in split(t.lower())), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         self.lengths = np.array([len(r) for r in runs], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.words = np.concatenate(runs) if runs else np.zeros(0, np.int64)
         self.vocab = list(vocab)
 
 
-def bounded_batches(texts: Iterable[str | None], chars: int = 4_000_000) -> Iterator[Batch]:
+def bounded_batches(texts: Iterable[str | None], chars: int = 4_000_000, split: Callable[[str], list[str]] = _LETTERS.findall) -> Iterator[Batch]:
     """Whole texts in batches of about ``chars`` characters."""
     held: list[str | None] = []
     size = 0
@@ -35,10 +37,10 @@ def bounded_batches(texts: Iterable[str | None], chars: int = 4_000_000) -> Iter
         held.append(t)
         size += len(t or "")
         if size >= chars:
-            yield Batch(held)
+            yield Batch(held, split)
             held, size = [], 0
     if held:
-        yield Batch(held)
+        yield Batch(held, split)
 
 
 class Codes:
@@ -98,3 +100,15 @@ def sample(rows: DataFrame, by: str, most: int, key: str = "doc_id") -> DataFram
     """
     order = W.partitionBy(by).orderBy(F.xxhash64(key), key, F.xxhash64("text"))
     return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What ``fit`` makes of a bounded sample, worked out in one task of the cluster."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(parts)
+        if got:
+            yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(got, ignore_index=True)))]})
+
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(bytes(made[0])) if made else fit(pd.DataFrame({c: [] for c in rows.columns}))
