@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import cotrain, covertree, langid, packing, sharding, simhash, toxicity
+from packetloom.llm import cotrain, covertree, decontam, extract, langid, packing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,13 @@ def op7_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
