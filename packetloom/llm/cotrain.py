@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, unlabelled:
     got = sample(rows, "kind", most)
     if per_class < most:  # the smaller bound, on what is bounded already
         got = sample(got.filter("kind >= 0"), "kind", per_class).unionByName(got.filter("kind < 0"))
-    return fit_in_task(got, lambda pdf: fit(pdf.sort_values(["doc_id", "text", "quality"], ignore_index=True)))
+    return Model(**fit_in_task(got, lambda pdf: fit(pdf.sort_values(["doc_id", "text", "quality"], ignore_index=True))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:

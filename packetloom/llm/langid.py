@@ -259,7 +259,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         got = got.sort_values(["lang", "doc_id", "text"])
         return fit(got["text"].tolist(), got["lang"].tolist())
 
-    return fit_in_task(sample(rows, "lang", per_language), fitted)
+    return Model(**fit_in_task(sample(rows, "lang", per_language), fitted))
 
 
 def label(text: Column, model: Model) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import cotrain, covertree, decontam, extract, langid, packing, sharding, simhash, toxicity
+from packetloom.llm import cotrain, covertree, decontam, extract, langid, packing, pii, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))

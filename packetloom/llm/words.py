@@ -102,13 +102,13 @@ def sample(rows: DataFrame, by: str, most: int, key: str = "doc_id") -> DataFram
     return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
 
 
-def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
-    """What ``fit`` makes of a bounded sample, worked out in one task of the cluster."""
+def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> dict:
+    """The fields of what ``fit`` makes of a bounded sample, worked out in one task of the cluster."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(parts)
         if got:
-            yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(got, ignore_index=True)))]})
+            yield pd.DataFrame({"model": [pickle.dumps(vars(fit(pd.concat(got, ignore_index=True))))]})
 
     made = rows.repartition(1).mapInPandas(run, "model binary").first()
-    return pickle.loads(bytes(made[0])) if made else fit(pd.DataFrame({c: [] for c in rows.columns}))
+    return pickle.loads(bytes(made[0])) if made else vars(fit(pd.DataFrame({c: [] for c in rows.columns})))
