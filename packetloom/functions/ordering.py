@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from packetloom.functions.dims import attach
+from packetloom.functions.dims import attach, bounded
 
+#: Rows of one range of an order that is worked through range by range.
+RANGE_ROWS = 100_000
 #: 4 hex digits of the digest: 65,536 ranges of a uniform key.
 _RANGE_DIGITS = 4
 
@@ -67,7 +69,7 @@ def mark_quota(
     key: list[str],
     seed: int = 42,
     out: str = "picked",
-    unique_key: bool = True,
+    unique_key: bool = False,
 ) -> DataFrame:
     """Flag exactly ``quota(class_rows, all_rows)`` rows of each class.
 
@@ -77,8 +79,9 @@ def mark_quota(
     is then a comparison on the rows in place. The rows are never shuffled or
     sorted, so a class holding most rows costs no more than any other.
 
-    With ``unique_key=False`` rows sharing the cut-off digest are told apart by
-    all their columns and counted as copies, so sizes stay exact.
+    Rows sharing a cut-off digest, because their keys are equal, are told apart by
+    all their columns and counted as copies, so sizes are exact for any key.
+    ``unique_key=True`` skips looking for them.
     """
     spark_cols = df.columns
     whole = not by
@@ -112,14 +115,17 @@ def mark_quota(
         .agg(F.count("*").alias("__n"))
         .withColumn("__upto", F.sum("__n").over(run))
         .filter((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__n") < F.col("__left")))
-        .select(*by, F.col("__h").alias("__cut"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__take"))
+        .select(*by, F.col("__h").alias("__cut"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__take"), F.col("__n").alias("__same"))
     )
     if whole:  # a single cut-off, as literals
         cut = cuts.first()
+        unique_key = unique_key or cut is None or cut["__same"] == 1
         cut, take = (cut["__cut"], cut["__take"]) if cut else (None, 0)
         marked = keyed.withColumns({"__cut": F.lit(cut).cast("string"), "__take": F.lit(take).cast("bigint")})
     else:
-        marked = attach(keyed, cuts, by, "left")
+        cuts, small = bounded(cuts)
+        unique_key = unique_key or (small and not cuts.filter(F.col("__same") > 1).head(1))
+        marked = attach(keyed, cuts.drop("__same"), by, "left")
     if unique_key:
         return marked.select(*spark_cols, F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)).alias(out))
 
@@ -152,14 +158,16 @@ def running_totals(
     order: str,
     sums: list[str],
     descending: bool = True,
-    parts: int = 64,
+    parts: int | None = None,
 ) -> DataFrame:
     """Cumulative ``sums`` in the order of the distinct numeric column ``order``.
 
     Two levels: totals per range of ``order`` give each range its start value,
     the sums inside a range run locally. ``df`` must hold one row per
-    (``by``, ``order``), which is what aggregating first gives.
+    (``by``, ``order``), which is what aggregating first gives. Without ``parts``
+    a range holds about ``RANGE_ROWS`` of its rows: store it first.
     """
+    parts = parts or min(max(8, df.count() // RANGE_ROWS), 10_000)
     splits = range_splits(df, order, parts)
     if len(splits) > 2:
         cut = Bucketizer(splits=splits, inputCol=order, outputCol="__r", handleInvalid="keep")
@@ -177,3 +185,22 @@ def running_totals(
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(local) + F.col(f"__s_{c}"))
     return out.drop("__r", *[f"__s_{c}" for c in sums])
+
+
+def numbered(df: DataFrame, order: Column, ties: list[str], out: str, by: list[str] | None = None) -> DataFrame:
+    """Numbers rows from 0 in the order of a digest, within ``by``.
+
+    Ranges of the digest are counted first; a task orders the rows of one range and
+    starts where the ranges before it end. ``df`` is read twice: store it first.
+    """
+    by = by or []
+    digits = 1
+    while df.count() > RANGE_ROWS * 16**digits and digits < 6:
+        digits += 1
+    keyed = df.withColumn("__h", order).withColumn("__b", F.substring("__h", 1, digits))
+    counts = keyed.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*by).orderBy("__b") if by else W.orderBy("__b")
+    starts = counts.select(*by, "__b", (F.sum("__n").over(before) - F.col("__n")).alias("__start"))
+    local = F.row_number().over(W.partitionBy(*by, "__b").orderBy("__h", *ties)) - 1
+    placed = attach(keyed.withColumn(out, local), starts, [*by, "__b"])
+    return placed.withColumn(out, F.col(out) + F.col("__start")).drop("__h", "__b", "__start")

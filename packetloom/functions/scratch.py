@@ -26,9 +26,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for data that is read many times over.
+    """At least one partition per core, for a stored table that is read many times over.
 
-    Large inputs have that many already and are left alone.
+    Large tables have that many already and are left alone. Counting the partitions
+    of anything but a plain read would run its plan: store it first.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

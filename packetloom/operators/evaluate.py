@@ -142,6 +142,11 @@ def _cumulated(df: DataFrame, y: str, score: str, by: list[str], weight: str | N
     return cum.withColumns({"all_pos": F.lit(one["all_pos"]), "all_neg": F.lit(one["all_neg"])})
 
 
+def _end_point(cum: DataFrame, by: list[str], point: list[Column]) -> DataFrame:
+    """The fixed point of each curve; the rows themselves are not read again."""
+    return cum.select(*by).distinct().select(*by, *point) if by else cum.sparkSession.range(1).select(*point)
+
+
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, and the origin at infinity."""
     by = by or []
@@ -150,8 +155,7 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] |
         *by, F.col("score").alias("threshold"), F.try_divide("cum_neg", "all_neg").alias("fpr"), F.try_divide("cum_pos", "all_pos").alias("tpr")
     )
     start = [F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")]
-    origin = df.groupBy(*by).agg(*start) if by else df.agg(*start)
-    return points.unionByName(origin)
+    return points.unionByName(_end_point(cum, by, start))
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -177,7 +181,7 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "score", by: list[str] |
         F.try_divide("cum_pos", "all_pos").alias("recall"),
     )
     end = [F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")]
-    return points.unionByName(df.groupBy(*by).agg(*end) if by else df.agg(*end))
+    return points.unionByName(_end_point(cum, by, end))
 
 
 def best_threshold(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None = None, digits: int | None = None) -> DataFrame:

@@ -12,9 +12,8 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from packetloom.functions.ordering import digest, digest_int
+from packetloom.functions.ordering import digest, digest_int, numbered
 from packetloom.functions.scratch import materialize, spread
 from packetloom.operators.clean import keep_finite
 from packetloom.operators.evaluate import accuracy, binary_rates, metric_row, score_summary
@@ -63,7 +62,7 @@ def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Sca
         estimator.setLabelCol(label).setFeaturesCol("features"),
     ]
     weight = estimator.getWeightCol() if estimator.isDefined("weightCol") else None
-    data = spread(df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else [])))
+    data = spread(materialize(df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else [])), "train"))
     return Pipeline(stages=stages).fit(data)
 
 
@@ -129,7 +128,11 @@ def score_table(model: PipelineModel, flows: DataFrame, features: list[str] | No
 
 def score_packets(model: PipelineModel, packets: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Packets to one verdict per flow: key, duration, packets, bytes, rate, prediction, label."""
-    flows = flow_features(packets, by)
+    return score_flow_rows(model, flow_features(packets, by), by)
+
+
+def score_flow_rows(model: PipelineModel, flows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One verdict per row of flow features."""
     shown = ["flow_key", "duration", "pkt_count", "total_bytes", "pkts_per_sec"]
     rows = to_unified(flows, [*(by or []), *shown])
     scored = predict(model, rows)
@@ -202,28 +205,27 @@ def learning_curve(
     return train_rows.sparkSession.createDataFrame(out, ddl)
 
 
-def _ranked(sample: DataFrame, key: list[str], seed: int | str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Numbers the rows of a bounded sample by digest, from 0."""
-    w = W.partitionBy(*(by or [])).orderBy(digest([*key, *(by or [])], seed), *key) if by else W.orderBy(digest(key, seed), *key)
-    return sample.withColumn(out, F.row_number().over(w) - 1)
+def _part(df: DataFrame, key: list[str], rows: int | None, seed: int) -> DataFrame:
+    return df if rows is None else sample_n(df, key, rows, seed)
 
 
 def permutation_importance(
-    scorer: Scorer, df: DataFrame, features: list[str], label: str, key: list[str], repeats: int = 10, rows: int = 10_000, seed: int = 42
+    scorer: Scorer, df: DataFrame, features: list[str], label: str, key: list[str], repeats: int = 10, rows: int | None = None, seed: int = 42
 ) -> DataFrame:
     """(feature, importance, sd): accuracy lost when a feature's values are shuffled.
 
-    Works on a uniform sample of ``rows`` rows. All shuffled copies of all
+    Works on all rows, or on a uniform sample of ``rows``. All shuffled copies of all
     features are one table, scored in one pass by ``scorer``, which must add
     ``pred`` to its input.
     """
-    sample = materialize(sample_n(df.select(*features, label, *key), key, rows, seed), "sample")
+    sample = materialize(_part(df.select(*features, label, *key), key, rows, seed), "sample")
     base = accuracy(scorer(sample), label).select("accuracy").scalar()
-    at = _ranked(sample, key, seed, "at")
+    at = numbered(sample, digest(key, seed), key, "at")
     copies = at.withColumn("runs", F.array(*[F.struct(F.lit(r).alias("run"), F.lit(f).alias("feature")) for r in range(repeats) for f in features]))
-    copies = copies.select(*features, label, *key, "at", F.inline("runs"))
+    copies = materialize(copies.select(*features, label, *key, "at", F.inline("runs")), "copies")
     value = reduce(lambda acc, f: acc.when(F.col("feature") == f, F.col(f)), features[1:], F.when(F.col("feature") == features[0], F.col(features[0])))
-    donors = _ranked(copies.select(*key, "run", "feature", value.cast("double").alias("donor")), key, seed, "at", ["run", "feature"])
+    donors = copies.select(*key, "run", "feature", value.cast("double").alias("donor"))
+    donors = numbered(donors, digest([*key, "run", "feature"], seed), key, "at", ["run", "feature"])
     mixed = copies.join(donors.select("run", "feature", "at", "donor"), ["run", "feature", "at"])
     mixed = mixed.withColumns({f: F.when(F.col("feature") == f, F.col("donor")).otherwise(F.col(f)) for f in features})
     per = scorer(mixed.drop("donor", "at")).groupBy("feature", "run").agg(F.avg((F.col(label) == F.col("pred")).cast("int")).alias("acc"))
@@ -231,22 +233,22 @@ def permutation_importance(
 
 
 def attribution(
-    scorer: Scorer, df: DataFrame, features: list[str], key: list[str], rows: int = 2_000, draws: int = 8, seed: int = 42
+    scorer: Scorer, df: DataFrame, features: list[str], key: list[str], rows: int | None = None, draws: int = 8, seed: int = 42
 ) -> DataFrame:
-    """Sampled Shapley values: (key, feature, attribution) on a uniform sample.
+    """Sampled Shapley values: (key, feature, attribution) of all rows, or of a uniform sample of ``rows``.
 
     Each draw orders the features at random and mixes the row with another row of
     the sample; the score change when a feature joins those before it, averaged
     over draws, is its attribution. All mixes are scored in one pass by
     ``scorer``, which must add ``score``.
     """
-    sample = materialize(sample_n(df.select(*features, *key), key, rows, seed), "sample")
-    numbered = _ranked(sample, key, seed, "at")
+    sample = materialize(_part(df.select(*features, *key), key, rows, seed), "sample")
+    places = materialize(numbered(sample, digest(key, seed), key, "at"), "sample")
     n = sample.agg(F.count("*")).first()[0]
-    draw = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    draw = places.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     # another row of the sample, a different step for each draw
     draw = draw.withColumn("other", (F.col("at") + 1 + digest_int(F.concat_ws(":", "draw", F.lit(seed)), max(n - 1, 1))) % n)
-    back = numbered.select(F.col("at").alias("other"), *[F.col(f).alias(f"{f}__b") for f in features])
+    back = places.select(F.col("at").alias("other"), *[F.col(f).alias(f"{f}__b") for f in features])
     mixes = draw.join(back, "other").withColumn(
         "mix",
         F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("joined")) for f in features for w in (0, 1)])),

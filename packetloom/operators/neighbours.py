@@ -10,6 +10,7 @@ pairs never become rows and a crowded cell is simply more blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -68,9 +69,12 @@ def _search_block(k: int):
 def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     """(g, vid, nvid, distance): the ``k`` nearest other distinct vectors of a group."""
     spark = vecs.sparkSession
-    sizes = {r["g"]: r["n"] for r in vecs.groupBy("g").agg(F.count("*").alias("n")).limit(_MAX_CELLS + 1).collect()}
-    if len(sizes) > _MAX_CELLS:
-        raise ValueError(f"more than {_MAX_CELLS} groups to search in")
+    groups = vecs.select("g").distinct().count()
+    if groups > _MAX_CELLS // 2:  # what tasks are handed is kept bounded: several rounds of groups
+        rounds = -(-groups // (_MAX_CELLS // 4))
+        turn = F.pmod(F.xxhash64("g"), F.lit(rounds))
+        return reduce(DataFrame.unionByName, [_vector_neighbours(vecs.filter(turn == i), k) for i in range(rounds)])
+    sizes = {r["g"]: r["n"] for r in vecs.groupBy("g").agg(F.count("*").alias("n")).collect()}
     n_pivots = max(1, min(_PIVOTS, sum(sizes.values()) // _BLOCK, _MAX_CELLS // max(1, len(sizes))))
     found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("g", "vid", "v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in found], dtype="float64"))
@@ -117,25 +121,29 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
                     lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
                     row, col = np.nonzero(lower <= bound[:, None])
                     yield pd.DataFrame(
-                        {"g": g, "vid": some["vid"].to_numpy()[row], "v": some["v"].to_numpy()[row], "cell": cell[col].astype("int32"), "blocks": -(-n[col] // _BLOCK)}
+                        {"g": g, "vid": some["vid"].to_numpy()[row], "v": some["v"].to_numpy()[row], "home": some["cell"].to_numpy()[row], "cell": cell[col].astype("int32"), "blocks": -(-n[col] // _BLOCK)}
                     )
 
     size_of = spark.createDataFrame(
-        [(g, int(c), int(-(-n // _BLOCK)), int(-(-sizes[g] // _QUERY_BLOCK))) for g, t in table.items() for c, n in zip(t["cell"], t["n"])],
+        [(g, int(c), int(-(-n // _BLOCK)), int(-(-n // _QUERY_BLOCK))) for g, t in table.items() for c, n in zip(t["cell"], t["n"])],
         "g string, cell int, blocks int, qblocks int",
     )
-    queries = placed.select("g", "vid", "v").mapInPandas(visits, "g string, vid bigint, v array<double>, cell int, blocks bigint")
-    qblocks = attach(queries, size_of.select("g", "qblocks").distinct(), ["g"])
-    queries = qblocks.select(
-        "g", "vid", "v", "cell",
-        F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"),
-        F.pmod(F.xxhash64("vid"), F.col("qblocks")).cast("int").alias("qblock"),
-    )
-    cands = attach(placed, size_of, ["g", "cell"], max_rows=_MAX_CELLS).select(
-        "g", "vid", "v", "cell",
-        F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"),
+    # a query block is a part of one home cell, so its points visit the same few cells
+    queries = placed.select("g", "vid", "v", "cell").mapInPandas(visits, "g string, vid bigint, v array<double>, home int, cell int, blocks bigint")
+    homes = size_of.select("g", F.col("cell").alias("home"), "qblocks")
+    queries = materialize(
+        attach(queries, homes, ["g", "home"], max_rows=_MAX_CELLS).select(
+            "g", "vid", "v", "cell",
+            F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"),
+            (F.col("home").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vid"), F.col("qblocks"))).alias("qblock"),
+        ),
+        "queries",
     )
+    # candidates go to the query blocks that visit their cell, and to no other
+    asked = queries.groupBy("g", "cell", F.col("qblock").alias("asking")).agg(F.count("*").alias("points"))
+    cands = attach(placed, size_of, ["g", "cell"], max_rows=_MAX_CELLS)
+    cands = cands.select("g", "vid", "v", "cell", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("block"))
+    cands = cands.join(asked, ["g", "cell"]).withColumnRenamed("asking", "qblock").drop("points")
     keys = ["g", "cell", "block", "qblock"]
     hits = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(
         _search_block(k), "g string, vid bigint, nvid bigint, distance double"

@@ -116,17 +116,18 @@ def preprocess(
 ) -> Prepared:
     """Drop bad rows, keep the features, split per class, scale by the train rows.
 
-    ``store`` writes the result once to the shared folder, for learners that read
-    it again and again.
+    ``store`` writes the cleaned slim rows, which the passes for split and scale read,
+    and the result to the shared folder, for learners that read it again and again.
     """
     if label in features:
         raise ValueError("the label is not a feature")
     cols = list(dict.fromkeys([*features, label, *key, *(keep or [])]))
     clean = keep_finite(df, [*features, label]).select(*cols)
+    clean = materialize(clean, "clean") if store else clean
     marked = mark_split(clean, label, key, test_size, seed)
     scaler = Scaler.fit(marked.filter(~F.col("is_test")), features)
     rows = scaler.transform(marked)
-    return Prepared(materialize(spread(rows), "prepared") if store else rows, scaler)
+    return Prepared(spread(materialize(rows, "prepared")) if store else rows, scaler)
 
 
 def reduce_features(df: DataFrame, ranked: DataFrame, n: int = 20, keep: list[str] | None = None) -> DataFrame:

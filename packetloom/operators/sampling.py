@@ -17,7 +17,7 @@ def _take(df: DataFrame, *args, **kw) -> DataFrame:
     return mark_quota(df, *args, out="__take_row", **kw).filter("__take_row").drop("__take_row")
 
 
-def mark_split(df: DataFrame, label: str, key: list[str], test_size: float = 0.2, seed: int = 42, out: str = "is_test", unique_key: bool = True) -> DataFrame:
+def mark_split(df: DataFrame, label: str, key: list[str], test_size: float = 0.2, seed: int = 42, out: str = "is_test", unique_key: bool = False) -> DataFrame:
     """Adds a test flag: ``round(test_size * n)`` rows of each class are test rows."""
     return mark_quota(df, [label], lambda n, _: F.round(n * test_size), key, seed, out, unique_key)
 

@@ -133,11 +133,14 @@ def score_summary(v: Views):
 
 
 @query(f"""{_S}, {_CUM_BY}, auc AS (SELECT source, sum(neg * (tp - pos / 2.0)) / max(p) / max(n) AS auc FROM cum GROUP BY source),
-c AS (SELECT source, count(*) FILTER (WHERE y = pred) AS ok, count(*) AS n, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y <> pred) AS wrong FROM scored GROUP BY source)
-SELECT 'rule' AS model, source, round(ok / n, 6) AS accuracy, round(2 * tp / (2 * tp + wrong), 6) AS f1, round(auc, 6) AS auc FROM c JOIN auc USING (source) WHERE source IN (0, 1)""")
+models AS (SELECT 'rule' AS model, source, y, pred, score FROM scored UNION ALL SELECT 'strict', source, y, CASE WHEN score >= 0.8 THEN 1 ELSE 0 END, score FROM scored),
+c AS (SELECT model, source, count(*) FILTER (WHERE y = pred) AS ok, count(*) AS n, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y <> pred) AS wrong FROM models GROUP BY model, source)
+SELECT model, source, round(ok / n, 6) AS accuracy, round(2 * tp / (2 * tp + wrong), 6) AS f1, round(auc, 6) AS auc FROM c JOIN auc USING (source)""")
 def metric_matrix(v: Views):
-    rows = ev.metric_row(v.scored(), by=["source"]).select(F.lit("rule").alias("model"), "source", "accuracy", "f1", "auc")
-    return rounded(rows.filter(F.col("source").isin(0, 1)))
+    """Two models over every source."""
+    models = {"rule": v.scored(), "strict": v.scored().withColumn("pred", (F.col("score") >= 0.8).cast("int"))}
+    rows = [ev.metric_row(df, by=["source"]).select(F.lit(m).alias("model"), "source", "accuracy", "f1", "auc") for m, df in models.items()]
+    return rounded(reduce(DataFrame.unionByName, rows))
 
 
 @query(f"""{_S} SELECT 'Rule 0.5' AS experiment, round(avg(CASE WHEN y = pred THEN 1 ELSE 0 END), 4) AS accuracy, 1 AS features FROM scored

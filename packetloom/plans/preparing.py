@@ -25,10 +25,10 @@ def union_sources(v: Views):
     return schema.union_sources(v.aligned())
 
 
-@query("SELECT l_returnflag AS label, l_quantity FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_returnflag, l_quantity FROM lineitem WHERE l_linenumber = 2")
+@query("SELECT l_returnflag AS label, l_quantity FROM lineitem")
 def union_all(v: Views):
     li = v.table("lineitem").select(F.col("l_returnflag").alias("label"), "l_quantity", "l_linenumber")
-    return schema.union_all(*[li.filter(F.col("l_linenumber") == i).drop("l_linenumber") for i in (1, 2)])
+    return schema.union_all(*[li.filter(F.col("l_linenumber") == i).drop("l_linenumber") for i in range(1, 8)])
 
 
 @query(f"WITH {SOURCES} SELECT dur::DOUBLE AS dur, rate, mean, label, NULL AS sjit FROM raw_a UNION ALL SELECT dur, rate, NULL, label, sjit FROM raw_c")
@@ -129,7 +129,7 @@ _PERM_KEY = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
 
 
 @query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y
-  FROM lineitem ORDER BY {MD5_KEY} LIMIT 10000),
+  FROM lineitem),
 a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}) - 1 AS pos FROM s),
 base AS (SELECT avg(CASE WHEN y = {_RULE.format(q='l_quantity', d='l_discount', t='l_tax')} THEN 1 ELSE 0 END) AS acc FROM s),
 c AS (SELECT a.*, run, feature FROM a, (SELECT unnest(range(0, 10)) AS run), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature)),
@@ -141,7 +141,7 @@ p AS (SELECT feature, run, avg(CASE WHEN y = {_RULE.format(q='q', d='d', t='t')}
 SELECT feature, round(avg((SELECT acc FROM base) - acc), 6) AS importance, round(stddev_pop((SELECT acc FROM base) - acc), 6) AS sd FROM p GROUP BY feature""")
 def permutation_importance(v: Views):
     df = v.binary_flows().drop("label")
-    return rounded(permute(_rule, df, ["l_quantity", "l_discount", "l_tax"], "y", KEY, repeats=10, rows=10_000))
+    return rounded(permute(_rule, df, ["l_quantity", "l_discount", "l_tax"], "y", KEY, repeats=10))
 
 
 _PTS = "pts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -173,12 +173,12 @@ based AS (SELECT p.vec_id, p.label, p.v, m // n + CASE WHEN row_number() OVER (P
 copies AS (SELECT vec_id AS base, label, v, unnest(range(1, times + 1)) AS copy FROM based),
 drawn AS (SELECT *, 1 + CAST('0x' || substr(md5(base || ':' || copy || ':42:n'), 1, 8) AS BIGINT) % 3 AS rank,
   CAST('0x' || substr(md5(base || ':' || copy || ':42:u'), 1, 8) AS BIGINT) / 4294967295.0 AS u FROM copies)
-SELECT d.label, d.base, d.copy, n.neighbour, round(d.u, 6) AS u, round(d.v[1] + d.u * (q.v[1] - d.v[1]), 6) AS x1, round(d.v[64] + d.u * (q.v[64] - d.v[64]), 6) AS x64
-FROM drawn d JOIN near n ON n.vec_id = d.base AND n.rank = d.rank JOIN pts q ON q.vec_id = n.neighbour""")
+SELECT d.label, d.base, d.copy, n.neighbour, round(d.u, 6) AS u, CAST(i - 1 AS INTEGER) AS dim, round(d.v[i] + d.u * (q.v[i] - d.v[i]), 6) + 0.0 AS x
+FROM drawn d JOIN near n ON n.vec_id = d.base AND n.rank = d.rank JOIN pts q ON q.vec_id = n.neighbour, (SELECT unnest(range(1, 65)) AS i)""")
 def smote_targeted(v: Views):
     sizes = v.points().groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     rows = nb.oversample(v.points(), "vec_id", "v", "label", {0: sizes + 10, 1: sizes + 10, 2: sizes + 10}, 3)
-    return rounded(rows.select("label", "base", "copy", "neighbour", "u", F.get("v", F.lit(0)).alias("x1"), F.get("v", F.lit(63)).alias("x64")))
+    return rounded(rows.select("label", "base", "copy", "neighbour", "u", F.posexplode("v").alias("dim", "x")))
 
 
 @query(f"""WITH {_WITHIN}, sizes AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
@@ -195,8 +195,8 @@ pool AS (SELECT vec_id, v, label FROM pts UNION ALL SELECT vec_id, v, label FROM
 nn AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS other_label FROM pool a JOIN pool b ON a.vec_id <> b.vec_id
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) = 1),
 gone AS (SELECT n.vec_id FROM nn n JOIN nn m ON n.vec_id = m.other AND n.other = m.vec_id WHERE n.label <> n.other_label)
-SELECT vec_id, label FROM pool WHERE vec_id NOT IN (SELECT vec_id FROM gone)""")
+SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS dim, round(v[i], 6) + 0.0 AS x FROM pool, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id NOT IN (SELECT vec_id FROM gone)""")
 def oversample_and_clean(v: Views):
-    return nb.oversample_and_clean(v.points(), "vec_id", "v", "label", 3).select("vec_id", "label")
+    return rounded(nb.oversample_and_clean(v.points(), "vec_id", "v", "label", 3).select("vec_id", "label", F.posexplode("v").alias("dim", "x")))
 
 

@@ -15,10 +15,14 @@ _COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedp
 _DDL = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, label string"
 
 
-@query("SELECT l_returnflag AS label, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity >= 25")
+@query("SELECT l_returnflag AS label, l_quantity, l_extendedprice FROM lineitem")
 def scan_parquet(v: Views):
-    df = src.read_parquet(v.spark, v.path("lineitem"))
-    return df.filter(F.col("l_quantity") >= 25).select(F.col("l_returnflag").alias("label"), "l_quantity", "l_extendedprice")
+    """Two folders read as one table."""
+    path = scratch_path(v.spark, "folders")
+    rows = v.table("lineitem").select(F.col("l_returnflag").alias("label"), "l_quantity", "l_extendedprice")
+    src.write_parquet(rows.filter("label = 'N'"), f"{path}/a")
+    src.write_parquet(rows.filter("label <> 'N' or label is null"), f"{path}/b")
+    return src.read_parquet(v.spark, f"{path}/a", f"{path}/b")
 
 
 @query(f"WITH {FLOWS} SELECT * FROM flows ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5")

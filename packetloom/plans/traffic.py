@@ -12,7 +12,7 @@ from packetloom.plans.views import FEATURES_SQL, PACKETS, Views, rounded
 from packetloom.sources import captures as cap
 from packetloom.sources.captures import capture_bytes, split_captures
 from packetloom.sources.tables import as_json, preview
-from packetloom.streaming.flows import FlowStream, session_features, start, write_features
+from packetloom.streaming.flows import session_features, start
 
 _F = f"WITH {PACKETS}, {FEATURES_SQL}"
 _FEATURE_COLS = (
@@ -74,42 +74,53 @@ def parse_packets(v: Views):
     return rows.select("ts", "proto", "length", "payload_len", "src_ip", "dst_ip", "src_port", "dst_port", "flags")
 
 
-_IDLE = 3 * 86400
-
-
-@query(f"""WITH {PACKETS}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY flow_key ORDER BY pkt_seq) AS gap0 FROM keyed),
-s AS (SELECT *, sum(CASE WHEN gap0 > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY pkt_seq) AS flow_no FROM g0),
-g AS (SELECT *, CASE WHEN gap0 <= {_IDLE} THEN gap0 END AS gap FROM s),
-f AS (SELECT flow_key, flow_no, proto, greatest(max(ts) - min(ts), 1e-9) AS d, count(*) AS n, sum(length)::BIGINT AS tb, avg(length) AS ml, stddev_pop(length) AS sl,
-  avg(gap) AS mi, stddev_pop(gap) AS si, bit_or(flags) AS fl FROM g GROUP BY ALL HAVING count(*) >= 2)
-SELECT flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb AS total_bytes, round(ml, 2) AS mean_pkt_len, round(sl, 2) AS std_pkt_len,
-  round(mi, 6) AS mean_iat, round(si, 6) AS std_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
-  CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin FROM f""")
+_DAY, _IDLE, _SLICES = 86400, 3 * 86400, 6
+# Slices of equal time. Packets of the last day of a slice that draw the number 7 come with
+# the next slice, which the watermark allows; old ones that draw 13 come last and too late.
+_ARRIVALS = f"""{PACKETS}, span AS (SELECT min(ts) AS t0, (max(ts) - min(ts)) / {_SLICES} AS w FROM packets),
+cut AS (SELECT k.*, least(floor((ts - t0) / w), {_SLICES - 1}) AS own, t0, w FROM keyed k, span),
+arrived AS (SELECT * FROM cut WHERE NOT (pkt_seq % 50 = 13 AND ts < t0 + {_SLICES - 1} * w - 8 * {_DAY}))"""
+_SESSIONS = f"""g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY flow_key ORDER BY ts) AS gap0 FROM arrived),
+s AS (SELECT *, sum(CASE WHEN gap0 > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY ts) AS flow_no FROM g0),
+f AS (SELECT flow_key, flow_no, proto, greatest(max(ts) - min(ts), 1e-9) AS d, max(ts) AS last_ts, count(*) AS n, sum(length)::BIGINT AS tb, avg(length) AS ml,
+  stddev_pop(length) AS sl, bit_or(flags) AS fl FROM s GROUP BY ALL HAVING count(*) >= 2),
+closed AS (SELECT * FROM f WHERE last_ts + {_IDLE} <= (SELECT max(ts) - {_DAY} FROM arrived))"""
+_SESSION_COLS = """flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb AS total_bytes, round(ml, 2) AS mean_pkt_len, round(sl, 2) AS std_pkt_len,
+  round(d / (n - 1), 6) AS mean_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
+  CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin"""
+
+
+def arriving(v: Views, base: str):
+    """The packets as a stream of one file per trigger, some late, some too late."""
+    packets = v.packets()
+    t0, t1 = packets.agg(F.min("ts"), F.max("ts")).first()
+    width = (t1 - t0) / _SLICES
+    own = F.least(F.floor((F.col("ts") - t0) / width), F.lit(_SLICES - 1))
+    draw = F.col("pkt_seq") % 50
+    late = (draw == 7) & (F.col("ts") >= t0 + (own + 1) * width - _DAY)
+    lost = (draw == 13) & (F.col("ts") < t0 + (_SLICES - 1) * width - 8 * _DAY)
+    number = F.when(lost, _SLICES - 1).when(late, F.least(own + 1, F.lit(_SLICES - 1))).otherwise(own)
+    numbered = packets.withColumn("slice", number.cast("int"))
+    for i in range(_SLICES):
+        numbered.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return v.spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+@query(f"WITH {_ARRIVALS}, {_SESSIONS} SELECT {_SESSION_COLS} FROM closed")
 def stream_flow_features(v: Views):
+    """Flows the watermark has passed, out of several triggers with late packets."""
     base = scratch_path(v.spark, "stream")
-    v.packets().write.parquet(f"{base}/in")
-    packets = v.spark.readStream.schema(v.packets().schema).parquet(f"{base}/in")
-    stream = FlowStream(f"{base}/state", idle=_IDLE, delay=86400.0, on_closed=write_features(f"{base}/out"))
-    done = start(packets, stream, f"{base}/checkpoint", once=True)
-    done.awaitTermination()
-    stream.flush(v.spark, done.lastProgress["batchId"])
-    return v.spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out").drop("flow_no")
+    flows = session_features(arriving(v, base), f"{_IDLE} seconds", "1 day")
+    start(flows, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return v.spark.read.parquet(f"{base}/out")
 
 
-@query(f"""WITH {PACKETS}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY flow_key ORDER BY ts) AS gap0 FROM keyed),
-s AS (SELECT *, sum(CASE WHEN gap0 > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY ts) AS flow_no FROM g0),
-f AS (SELECT flow_key, flow_no, proto, greatest(max(ts) - min(ts), 1e-9) AS d, max(ts) AS last_ts, count(*) AS n, sum(length)::BIGINT AS tb, avg(length) AS ml,
-  stddev_pop(length) AS sl, bit_or(flags) AS fl FROM s GROUP BY ALL HAVING count(*) >= 2)
-SELECT flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb AS total_bytes, round(ml, 2) AS mean_pkt_len, round(sl, 2) AS std_pkt_len,
-  round(d / (n - 1), 6) AS mean_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
-  CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin
-FROM f WHERE last_ts + {_IDLE} <= (SELECT max(ts) - 86400 FROM packets)""")
+@query(f"WITH {PACKETS}, arrived AS (SELECT * FROM keyed), {_SESSIONS} SELECT {_SESSION_COLS} FROM closed")
 def stream_sessions(v: Views):
-    """Sessions the watermark has passed when all packets are in."""
+    """Sessions the watermark has passed when all packets came in one trigger."""
     base = scratch_path(v.spark, "sessions")
     v.packets().write.parquet(f"{base}/in")
     packets = v.spark.readStream.schema(v.packets().schema).parquet(f"{base}/in")
     flows = session_features(packets, f"{_IDLE} seconds", "1 day")
-    run = flows.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
-    run.trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    start(flows, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
     return v.spark.read.parquet(f"{base}/out")

@@ -1,113 +1,39 @@
 """Flow features and verdicts over a stream of packets.
 
-Each trigger reduces its packets to flow parts (the batch operator) and joins them
-with the parts of the flows still open. A flow is closed once it has been silent
-for ``idle`` seconds as seen from the watermark, the latest packet time less the
-allowed delay. Open flows are kept as one part row each, whatever their length.
+Flows are session windows: a flow closes after ``idle`` seconds of silence behind
+the watermark. State, late packets and recovery are the engine's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from packetloom.operators.evaluate import score_summary
-from packetloom.operators.flows import CHUNK, FIN, KEY, MIN_DURATION, SYN, features_of, flow_key, flow_key_text, flow_parts, join_parts, to_unified
+from packetloom.operators.flows import FIN, KEY, MIN_DURATION, SYN, flow_key, flow_key_text, to_unified
 from packetloom.operators.models import predict, verdict
 
-OnClosed = Callable[[DataFrame, int], None]
-
-
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-class FlowStream:
-    """The work of one trigger; ``state`` is a folder all executors reach.
-
-    The state of batch ``b`` is written to ``state/b`` from ``state/(b-1)`` and the
-    packets of ``b`` only, so a repeated batch gives the same result.
-    """
-
-    def __init__(self, state: str, idle: float, delay: float, on_closed: OnClosed, chunk: int = CHUNK):
-        self.state, self.idle, self.delay, self.on_closed, self.chunk = state.rstrip("/"), idle, delay, on_closed, chunk
-
-    def __call__(self, packets: DataFrame, batch: int) -> None:
-        spark = packets.sparkSession
-        before = _read_if_there(spark, f"{self.state}/open/{batch - 1}") if batch > 0 else None
-        mark = _read_if_there(spark, f"{self.state}/watermark/{batch - 1}") if batch > 0 else None
-        seen = float("-inf") if mark is None else mark.first()["seen"]
-        if seen > float("-inf"):
-            packets = packets.filter(F.col("ts") >= seen - self.delay)  # later ones are too late
-        packets = packets.persist()
-        parts = flow_parts(flow_key(packets), None, "pkt_seq", self.chunk, self.idle)
-        if before is not None:
-            parts = before.unionByName(parts)
-        flows = join_parts(parts, None, self.idle)
-        latest = packets.agg(F.max("ts").alias("t")).first()["t"]
-        seen = max(seen, latest if latest is not None else seen)
-        closed = F.col("last_ts") < seen - self.delay - self.idle
-        self._store(flows.withColumn("closed", closed), f"{self.state}/joined/{batch}")
-        joined = spark.read.parquet(f"{self.state}/joined/{batch}")
-        self.on_closed(joined.filter("closed").drop("closed"), batch)
-        self._store(joined.filter(~F.col("closed")).drop("closed", "flow_no"), f"{self.state}/open/{batch}")
-        self._store(spark.createDataFrame([(seen,)], "seen double"), f"{self.state}/watermark/{batch}")
-        packets.unpersist()
-
-    def flush(self, spark: SparkSession, batch: int) -> None:
-        """Close every open flow after the last batch of a finished stream."""
-        rest = _read_if_there(spark, f"{self.state}/open/{batch}")
-        if rest is not None:
-            self.on_closed(join_parts(rest, None, self.idle), batch + 1)
-
-    @staticmethod
-    def _store(df: DataFrame, path: str) -> None:
-        df.write.mode("overwrite").parquet(path)
-
 
-def write_features(out: str) -> OnClosed:
-    """Sink: feature rows of closed flows, one folder per batch."""
-
-    def sink(flows: DataFrame, batch: int) -> None:
-        features_of(flows).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
-
-    return sink
-
-
-def write_verdicts(out: str, model: PipelineModel) -> OnClosed:
-    """Sink: verdict per closed flow, and the attack counts of the batch."""
-
-    def sink(flows: DataFrame, batch: int) -> None:
-        rows = to_unified(features_of(flows), ["flow_key", "pkt_count"])
-        scored = predict(model, rows).withColumn("prediction", verdict())
-        base = out.rstrip("/")
-        scored.write.mode("overwrite").parquet(f"{base}/flows/batch={batch}")
-        done = flows.sparkSession.read.parquet(f"{base}/flows/batch={batch}")
-        score_summary(done).write.mode("overwrite").parquet(f"{base}/summary/batch={batch}")
-
-    return sink
-
-
-def session_features(packets: DataFrame, idle: str = "2 minutes", delay: str = "1 minute") -> DataFrame:
+def session_features(packets: DataFrame, idle: str = "2 minutes", delay: str = "1 minute", by: list[str] | None = None) -> DataFrame:
     """Flow features of a packet stream by session windows and built-in aggregates only.
 
-    The state of an open flow is a handful of numbers. Packets count in time
-    order here, so the mean gap is the duration over the gaps; the spread of the
-    gaps needs the packets in order and is left to ``FlowStream``. Late packets
-    go by the watermark; append mode gives a flow once the watermark passed it.
+    The state of an open flow is a handful of numbers, kept by the engine. Packets
+    count in time order here, so the mean gap is the duration over the gaps; the
+    spread of the gaps needs the packets in order and is left to the batch
+    operator. Late packets go by the watermark; append mode gives a flow once the
+    watermark has passed it.
+
+    Flows of several captures are told apart by ``by``; packets with a ``file``
+    column need it.
     """
+    by = by or []
+    if "file" in packets.columns and not by:
+        raise ValueError("packets of several capture files: give by=['file']")
     keyed = flow_key(packets.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("bigint"))))
     flows = (
         keyed.withWatermark("event_time", delay)
-        .groupBy(F.session_window("event_time", idle).alias("session"), *KEY)
+        .groupBy(F.session_window("event_time", idle).alias("session"), *by, *KEY)
         .agg(
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
@@ -121,6 +47,7 @@ def session_features(packets: DataFrame, idle: str = "2 minutes", delay: str = "
     )
     duration = F.greatest(F.col("last_ts") - F.col("first_ts"), F.lit(MIN_DURATION))
     return flows.select(
+        *by,
         flow_key_text().alias("flow_key"),
         "proto",
         F.round(duration, 6).alias("duration"),
@@ -136,7 +63,13 @@ def session_features(packets: DataFrame, idle: str = "2 minutes", delay: str = "
     )
 
 
-def start(packets: DataFrame, stream: FlowStream, checkpoint: str, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
-    """Run the stream: until stopped, or with ``once`` over what is there now."""
-    writer = packets.writeStream.foreachBatch(stream).option("checkpointLocation", checkpoint)
+def score_sessions(model: PipelineModel, flows: DataFrame) -> DataFrame:
+    """Verdict per closed flow; ``model`` takes the shared flow features."""
+    rows = to_unified(flows, ["flow_key", "pkt_count"])
+    return predict(model, rows).withColumn("prediction", verdict())
+
+
+def start(flows: DataFrame, out: str, checkpoint: str, once: bool = False, every: str = "30 seconds") -> StreamingQuery:
+    """Append closed flows to Parquet files: until stopped, or with ``once`` over what is there now."""
+    writer = flows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

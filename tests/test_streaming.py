@@ -1,66 +1,45 @@
-"""The stream over several triggers gives the flows of the batch job."""
-
-import random
+"""Session windows over several triggers: open state, late packets, the watermark."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators.flows import flow_features
-from packetloom.streaming.flows import FlowStream, start, write_features
+from packetloom.streaming.flows import session_features, start
 
 COLS = "pkt_seq bigint, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto int, length bigint, flags int"
-IDLE = 50.0
-
-
-def _rows(n=600):
-    rnd, ts, rows = random.Random(9), 0.0, []
-    for i in range(n):
-        ts += rnd.choice([0.5, 1.0, 2.0])
-        host = rnd.choices([1, rnd.randint(2, 12)], [1, 2])[0]
-        if host == 5 and 100 < i < 400:  # silent for long, then back: two flows
-            host = 6
-        rows.append((i, ts, f"1.1.1.{host}", 9, "2.2.2.2", 8, 6, rnd.randint(60, 900), rnd.choice([0, 1, 2])))
-    return rows
-
-
-def _run(spark, base, rows, stream):
-    """Each slice of rows is one file and one run of the query over what is new."""
-    done = None
-    for k in range(0, len(rows), 150):
-        spark.createDataFrame(rows[k : k + 150], COLS).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        packets = spark.readStream.schema(COLS).parquet(f"{base}/in")
-        done = start(packets, stream, f"{base}/checkpoint", once=True)
-        done.awaitTermination()
-    return done.lastProgress["batchId"]
-
-
-def _read(spark, path):
-    return spark.read.option("recursiveFileLookup", True).parquet(path)
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = _rows()
-    stream = FlowStream(f"{tmp_path}/state", IDLE, 10.0, write_features(f"{tmp_path}/out"), chunk=40)
-    last = _run(spark, tmp_path, rows, stream)
-    before_flush = _read(spark, f"{tmp_path}/out").count()
-    stream.flush(spark, last)
-    got = _read(spark, f"{tmp_path}/out").drop("flow_no")
-    want = flow_features(spark.createDataFrame(rows, COLS), idle=IDLE).drop("flow_no")
-    assert want.filter(F.col("flow_key").contains("1.1.1.5'")).count() >= 2
-    key = lambda r: tuple(str(x) for x in r)
-    assert 0 < before_flush < want.count()
-    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
-    assert len(a) == len(b)
-    for x, y in zip(a, b):
-        assert [x[c] for c in ("flow_key", "pkt_count", "total_bytes", "has_syn")] == [y[c] for c in ("flow_key", "pkt_count", "total_bytes", "has_syn")]
-        assert abs(x["std_iat"] - y["std_iat"]) < 1e-5 and abs(x["mean_iat"] - y["mean_iat"]) < 1e-5 and abs(x["std_pkt_len"] - y["std_pkt_len"]) < 0.011
 
 
-def test_late_packets_are_dropped_and_batches_repeat(spark, tmp_path):
-    seen = []
-    stream = FlowStream(f"{tmp_path}/state", 5.0, 10.0, lambda df, b: seen.append((b, sorted(r["n"] for r in df.collect()))))
-    one = [(i, 100.0 + i, "1.1.1.1", 9, "2.2.2.2", 8, 6, 100, 0) for i in range(3)]
-    two = [(3, 50.0, "1.1.1.1", 9, "2.2.2.2", 8, 6, 100, 0), (4, 200.0, "3.3.3.3", 9, "2.2.2.2", 8, 6, 100, 0)]
-    stream(spark.createDataFrame(one, COLS), 0)
-    stream(spark.createDataFrame(two, COLS), 1)
-    stream(spark.createDataFrame(two, COLS), 1)  # the same batch again after a failure
-    assert seen == [(0, []), (1, [3]), (1, [3])]
+def _packet(i, ts, host, length=100, flags=0):
+    return (i, ts, f"1.1.1.{host}", 9, "2.2.2.2", 8, 6, length, flags)
+
+
+def _run(spark, base, slices):
+    for i, rows in enumerate(slices):
+        spark.createDataFrame(rows, COLS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    packets = spark.readStream.schema(COLS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    flows = session_features(packets, "20 seconds", "10 seconds")
+    start(flows, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return {(r["flow_key"], r["pkt_count"]): r for r in spark.read.parquet(f"{base}/out").collect()}
+
+
+def test_flows_span_triggers_and_late_packets_follow_the_watermark(spark, tmp_path):
+    slices = [
+        [_packet(0, 100.0, 1, 50, 2), _packet(1, 105.0, 1, 70), _packet(2, 104.0, 2)],
+        # 103 comes late within the delay; host 1 goes on in this trigger
+        [_packet(3, 118.0, 1, 90, 1), _packet(4, 103.0, 2), _packet(5, 119.0, 3)],
+        [_packet(6, 300.0, 4)],
+        # far behind the watermark by now: left out
+        [_packet(7, 101.0, 1), _packet(8, 301.0, 4)],
+        [_packet(9, 500.0, 5)],
+    ]
+    got = _run(spark, str(tmp_path), slices)
+    counts = sorted((k[0].split("'")[1], k[1]) for k in got)
+    assert counts == [("1.1.1.1", 3), ("1.1.1.2", 2), ("1.1.1.4", 2)]
+    one = next(r for (k, n), r in got.items() if n == 3)
+    assert (one["duration"], one["total_bytes"], one["mean_iat"], one["has_syn"], one["has_fin"]) == (18.0, 210, 9.0, 1, 1)
+
+
+def test_several_captures_need_by(spark):
+    packets = spark.createDataFrame([_packet(0, 1.0, 1)], COLS).withColumn("file", F.lit("a"))
+    with pytest.raises(ValueError):
+        session_features(packets)
+    assert "file" in session_features(packets, by=["file"]).columns
