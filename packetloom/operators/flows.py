@@ -235,3 +235,28 @@ def to_unified(flows: DataFrame, keep: list[str] | None = None) -> DataFrame:
         mean.alias("packet_length_mean"),
         sd.alias("packet_length_std"),
     )
+
+
+def flow_directions(packets: DataFrame, by: list[str] | None = None, order: str = "pkt_seq") -> DataFrame:
+    """Packets, bytes and rates of either direction, and true smallest and largest length.
+
+    Forward is the direction of the first packet in ``order``, ``ts`` for captures
+    whose packets are not in time order. One aggregation, combined before the shuffle.
+    """
+    by = by or []
+    keyed = flow_key(packets)
+    up = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("lo")
+    flows = keyed.groupBy(*by, *KEY).agg(
+        F.min_by(up, F.struct(order, "pkt_seq")).alias("up"),
+        (F.max("ts") - F.min("ts")).alias("span"),
+        F.count_if(up).alias("n_up"),
+        F.count_if(~up).alias("n_down"),
+        F.coalesce(F.sum(F.when(up, F.col("length"))), F.lit(0)).alias("b_up"),
+        F.coalesce(F.sum(F.when(~up, F.col("length"))), F.lit(0)).alias("b_down"),
+        F.min("length").alias("len_min"),
+        F.max("length").alias("len_max"),
+    )
+    pick = lambda a, b: F.when(F.col("up"), F.col(a)).otherwise(F.col(b))
+    span = F.greatest(F.col("span"), F.lit(MIN_DURATION))
+    flows = flows.select(*by, flow_key_text().alias("flow_key"), span.alias("duration"), pick("n_up", "n_down").alias("fwd_packets"), pick("n_down", "n_up").alias("bwd_packets"), pick("b_up", "b_down").alias("fwd_bytes"), pick("b_down", "b_up").alias("bwd_bytes"), "len_min", "len_max")
+    return flows.withColumns({"fwd_per_sec": F.round(F.col("fwd_packets") / F.col("duration"), 2), "bwd_per_sec": F.round(F.col("bwd_packets") / F.col("duration"), 2), "duration": F.round("duration", 6)})

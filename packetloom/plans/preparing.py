@@ -125,6 +125,13 @@ def _rule(df):
     return df.withColumn("pred", hit.cast("int"))
 
 
+@query("SELECT l_returnflag AS label, least(count(*), 1000) AS rows FROM lineitem GROUP BY 1")
+def sample_repeated_keys(v: Views):
+    """Exact sizes although the key, the order alone, repeats."""
+    rows = v.table("lineitem").select("l_orderkey", F.col("l_returnflag").alias("label"), "l_quantity")
+    return sampling.sample_capped(rows, "label", ["l_orderkey"], 1000).groupBy("label").agg(F.count("*").alias("rows"))
+
+
 _PERM_KEY = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, run, feature) || ':42')"
 
 

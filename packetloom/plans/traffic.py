@@ -74,6 +74,24 @@ def parse_packets(v: Views):
     return rows.select("ts", "proto", "length", "payload_len", "src_ip", "dst_ip", "src_port", "dst_port", "flags")
 
 
+def _directions(order: str) -> str:
+    return f"""WITH {PACKETS}, o AS (SELECT *, first_value(src) OVER (PARTITION BY flow_key ORDER BY {order}, pkt_seq) = src AS fwd FROM keyed),
+d AS (SELECT flow_key, greatest(max(ts) - min(ts), 1e-9) AS d, count(*) FILTER (WHERE fwd) AS fp, count(*) FILTER (WHERE NOT fwd) AS bp,
+  coalesce(sum(length) FILTER (WHERE fwd), 0)::BIGINT AS fb, coalesce(sum(length) FILTER (WHERE NOT fwd), 0)::BIGINT AS bb, min(length) AS lo, max(length) AS hi FROM o GROUP BY flow_key)
+SELECT flow_key, round(d, 6) AS duration, fp AS fwd_packets, bp AS bwd_packets, fb AS fwd_bytes, bb AS bwd_bytes, lo AS len_min, hi AS len_max,
+  round(fp / d, 2) AS fwd_per_sec, round(bp / d, 2) AS bwd_per_sec FROM d"""
+
+
+@query(_directions("pkt_seq"))
+def flow_directional(v: Views):
+    return fl.flow_directions(v.packets())
+
+
+@query(_directions("ts"))
+def flow_directional_by_time(v: Views):
+    return fl.flow_directions(v.packets(), order="ts")
+
+
 _DAY, _IDLE, _SLICES = 86400, 3 * 86400, 6
 # Slices of equal time. Packets of the last day of a slice that draw the number 7 come with
 # the next slice, which the watermark allows; old ones that draw 13 come last and too late.

@@ -64,11 +64,11 @@ def split_captures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(split, PACKET_SCHEMA)
 
 
-def read_captures(spark: SparkSession, path: str, glob: str = "*.pcap", max_file_bytes: int = 1 << 30) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, glob: str = "*.pcap", max_file_bytes: int = (1 << 31) - 1) -> DataFrame:
     """All capture files below ``path`` as packet rows.
 
-    A file above ``max_file_bytes`` is refused rather than read by one task:
-    rotate or split such captures first.
+    A file is one value of the engine's binary reader, which ends at 2 GiB: larger
+    captures are named and refused, rotate or split them first.
     """
     files = (
         spark.read.format("binaryFile")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import bz2
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +73,10 @@ def read_csv_tagged(
 def read_csv_tolerant(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows that fit the schema, and a status row per file.
 
-    Unreadable files and rows that break the schema do not stop the job; the
-    status table (file, rows, bad_rows, empty_cells) reports them.
+    Unreadable files and rows that break the schema do not stop the job. The status
+    table (file, status, rows, bad_rows, empty_cells) starts from the listing of the
+    files, so none is lost unseen: ``unreadable`` and ``cut off`` compressed files,
+    ``empty`` ones, ``partly bad`` and ``ok``.
     """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     raw = (
@@ -84,10 +91,47 @@ def read_csv_tolerant(spark: SparkSession, paths: str | list[str], schema: T.Str
     good = trim_names(raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
     fits = F.col(CORRUPT).isNull()
     empty = sum((F.col(f"`{f.name}`").isNull().cast("bigint") for f in schema), F.lit(0))
-    status = raw.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+    counts = raw.groupBy(_plain_path(F.col("_metadata.file_path")).alias("path")).agg(
         F.count_if(fits).alias("rows"), F.count_if(~fits).alias("bad_rows"), F.sum(F.when(fits, empty)).alias("empty_cells")
     )
-    return good, status
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    packed = files.filter(F.lower("path").rlike(r"\.(gz|bz2)$")).select("path", "content").mapInArrow(_packing_state, "path string, state string")
+    # the names the planner holds anyway, files without a byte among them
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(_plain_path(F.col("path")).alias("path"))
+    states = packed.select(_plain_path(F.col("path")).alias("path"), "state")
+    seen = listed.join(counts, "path", "left").join(states, "path", "left").fillna(0, ["rows", "bad_rows", "empty_cells"])
+    verdict = F.when(F.col("state") != "ok", F.col("state")).when(F.col("rows") + F.col("bad_rows") == 0, "empty").when(F.col("bad_rows") > 0, "partly bad").otherwise("ok")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    return good, seen.select(name, verdict.alias("status"), "rows", "bad_rows", "empty_cells")
+
+
+def _plain_path(path: Column) -> Column:
+    """One spelling of a file's path, whichever reader gave it."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def _packing_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Does a compressed file open to its end? Such a file is one unit of work for any reader."""
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            data, make = memoryview(content.as_buffer()), (lambda: zlib.decompressobj(31)) if path.as_py().lower().endswith(".gz") else bz2.BZ2Decompressor
+            state, at, opened = "ok", 0, make()
+            try:
+                while at < len(data):
+                    opened.decompress(data[at : at + (1 << 16)])
+                    at += 1 << 16
+                    if opened.eof and at >= len(data):
+                        break
+                    if opened.eof:  # another member follows
+                        at -= len(opened.unused_data)
+                        opened = make()
+                if len(data) and not opened.eof:
+                    state = "cut off"
+            except (zlib.error, OSError, EOFError):
+                state = "unreadable"
+            out.append(state)
+        yield pa.record_batch([batch.column("path"), pa.array(out, pa.string())], names=["path", "state"])
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:

@@ -9,8 +9,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# two rows of this set share their key, so which of them is drawn or comes first is open
-NO_UNIQUE_KEY = {"lookup_by_key", "permutation_importance"}
+# two rows of this set share their key, so which of them comes first is open
+NO_UNIQUE_KEY = {"attribution_values", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
