@@ -18,14 +18,13 @@ from packetloom.functions.missing import finite_or_null
 #: Bracket size that may be ordered as one list of distinct values.
 _MAX_BRACKET = 1_000_000
 _ACCURACY = 10_000
-_ROUNDS = 4
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, dict[float, float | None]]:
     """``{column: {q: value}}`` over the finite values, linear interpolation.
 
-    Each round is one aggregate over the needed columns only; two or three rounds
-    reach any size. The driver holds a few numbers per column and quantile.
+    Each round is one aggregate over the needed columns only and narrows a bracket to
+    about a thirtieth, until what is in it may be ordered. The driver holds a few numbers per column and quantile.
     """
     cols = list(dict.fromkeys(cols))
     data = df.select(*[finite_or_null(c).cast("double").alias(c) for c in cols])
@@ -54,9 +53,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str
             "lo": lo, "hi": hi, "min": first[f"lo{i}"], "max": first[f"hi{i}"],
         }
 
-    for _ in range(_ROUNDS):
-        if not open_:
-            break
+    while open_:
         checks = []
         for tag, s in open_.items():
             inside = (F.col(s["c"]) >= s["lo"]) & (F.col(s["c"]) <= s["hi"])
@@ -75,7 +72,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str
                 # the sketch missed: widen to the whole column on that side
                 s["lo"] = s["min"] if s["k"] < below else s["lo"]
                 s["hi"] = s["max"] if top >= below + inside else s["hi"]
-                s["ready"] = False
+                # a bracket that misses again is not narrowed any more
+                s["missed"] = s.get("missed", 0) + 1
+                s["stuck"] = s["missed"] > 1
                 again = True
             elif inside > _MAX_BRACKET and s["lo"] < s["hi"] and not s.get("stuck"):
                 marks = seen[f"p_{tag}"]
@@ -83,18 +82,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str
                 lo = marks[max(math.floor(at(s["k"])) - 1, 0)]
                 hi = marks[min(math.ceil(at(top)) + 1, 64)]
                 s["stuck"] = (lo, hi) == (s["lo"], s["hi"])
-                s["lo"], s["hi"], s["ready"] = lo, hi, False
+                s["lo"], s["hi"] = lo, hi
                 again = True
-            else:
-                s["ready"] = True
         if not again:
             break
-    if any(not s.get("ready") for s in open_.values()):
-        counts = [F.count_if(F.col(s["c"]) < s["lo"]).alias(t) for t, s in open_.items()]
-        seen = data.agg(*counts).first()
-        for tag, s in open_.items():
-            s["below"] = seen[tag]
-
     # order the distinct values of each bracket; hot values are one counted row
     if open_:
         hits = F.array(

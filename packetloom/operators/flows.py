@@ -68,7 +68,7 @@ def flow_parts(
     key = [*(by or []), *KEY, "__chunk"]
     near = W.partitionBy(*key).orderBy(seq)
     rows = (
-        packets.select(*key[:-1], seq, "ts", "length", "flags", F.expr(f"{seq} div {chunk}").alias("__chunk"))
+        packets.select(*key[:-1], seq, "ts", "length", "flags", F.expr(f"cast(floor({seq}) as bigint) div {chunk}").alias("__chunk"))
         .withColumn("__gap", F.col("ts") - F.lag("ts").over(near))
     )
     if idle is not None:
@@ -194,9 +194,13 @@ def flow_features(
     """Packets to one feature row per flow of two or more packets.
 
     Packets count in arrival order (``seq``), also where their times run
-    backwards. ``by`` keeps captures apart (for example the file). By default a
-    flow never ends; ``idle`` seconds of silence split it.
+    backwards; ``seq="ts"`` counts them in time order (a chunk is then that many
+    seconds: give one that holds a bounded number of packets). ``by`` keeps captures
+    apart, whose packet numbers begin anew in each file; packets with a ``file``
+    column need it. By default a flow never ends; ``idle`` seconds of silence split it.
     """
+    if "file" in packets.columns and not by:
+        raise ValueError("packets of several capture files: give by=['file']")
     parts = flow_parts(flow_key(packets), by, seq, chunk, idle)
     return features_of(join_parts(parts, by, idle), by, digits)
 

@@ -69,12 +69,12 @@ def _search_block(k: int):
 def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     """(g, vid, nvid, distance): the ``k`` nearest other distinct vectors of a group."""
     spark = vecs.sparkSession
-    groups = vecs.select("g").distinct().count()
-    if groups > _MAX_CELLS // 2:  # what tasks are handed is kept bounded: several rounds of groups
-        rounds = -(-groups // (_MAX_CELLS // 4))
+    found = vecs.groupBy("g").agg(F.count("*").alias("n")).limit(_MAX_CELLS // 2 + 1).collect()
+    if len(found) > _MAX_CELLS // 2:  # what tasks are handed is kept bounded: several rounds of groups
+        rounds = -(-vecs.select("g").distinct().count() // (_MAX_CELLS // 4))
         turn = F.pmod(F.xxhash64("g"), F.lit(rounds))
         return reduce(DataFrame.unionByName, [_vector_neighbours(vecs.filter(turn == i), k) for i in range(rounds)])
-    sizes = {r["g"]: r["n"] for r in vecs.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["g"]: r["n"] for r in found}
     n_pivots = max(1, min(_PIVOTS, sum(sizes.values()) // _BLOCK, _MAX_CELLS // max(1, len(sizes))))
     found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("g", "vid", "v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in found], dtype="float64"))

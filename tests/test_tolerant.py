@@ -2,6 +2,8 @@
 
 import gzip
 
+import pytest
+
 from packetloom.operators import flows, sampling
 from packetloom.sources import tables
 
@@ -39,6 +41,16 @@ def test_exact_sizes_with_repeated_keys(spark):
     assert sampling.sample_n(copies, ["k"], 7).count() == 7
 
 
+def test_flows_of_files_and_in_time_order(spark):
+    cols = "file string, pkt_seq bigint, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto int, length bigint, flags int"
+    rows = [(f, i, base + 2.0 - i, "a", 1, "b", 2, 6, 10, 0) for f, base in (("x", 0.0), ("y", 1000.0)) for i in range(3)]
+    packets = spark.createDataFrame(rows, cols)
+    with pytest.raises(ValueError):
+        flows.flow_features(packets)
+    got = flows.flow_features(packets, by=["file"], seq="ts", chunk=600).collect()
+    assert sorted((r["file"], r["duration"], r["mean_iat"], r["pkt_count"]) for r in got) == [("x", 2.0, 1.0, 3), ("y", 2.0, 1.0, 3)]
+
+
 def test_directions_follow_time(spark):
     cols = "pkt_seq bigint, ts double, src_ip string, src_port int, dst_ip string, dst_port int, proto int, length bigint, flags int"
     rows = [(0, 9.0, "b", 2, "a", 1, 6, 10, 0), (1, 1.0, "a", 1, "b", 2, 6, 300, 0), (2, 3.0, "a", 1, "b", 2, 6, 20, 0)]
