@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from packetloom.functions.dims import attach
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PRIME = np.uint64(1099511628211)
 
@@ -94,12 +96,25 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample(rows: DataFrame, by: str, most: int, key: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows per value of ``by``, in the order of a hash of ``key``.
+    """At most ``most`` rows per value of ``by``, the first in the order of a hash of ``key``.
+
+    A count per value tells how much of the hash's range is needed, so that only about
+    three times ``most`` rows are moved and ordered; each task keeps ``most`` before that.
+    """
+    unit = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30))
+    share = rows.groupBy(by).agg((F.lit(3.0 * most * (1 << 30)) / F.count("*")).alias("__share"))
+    few = attach(rows, share, [by]).filter(unit < F.col("__share")).drop("__share")
+    rank = F.row_number().over(W.partitionBy(by).orderBy(unit, key))
+    return few.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def with_texts(chosen: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the documents of a bounded set of ids, which is broadcast.
 
-    Each task keeps that many before anything is shuffled.
+    Of rows that repeat an id the largest values stand for it.
     """
-    order = W.partitionBy(by).orderBy(F.xxhash64(key), key, F.xxhash64("text"))
-    return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy(*chosen.columns).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> dict:
