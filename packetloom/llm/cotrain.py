@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.words import Batch, Codes, bounded_batches, bucket, fit_in_task, fold, sample
+from packetloom.llm.words import Batch, Codes, bounded_batches, bucket, fit_in_task, fold, sample, with_texts
 
 BITS, META_BITS = 14, 8
+#: Labels of this fold of the documents are never learned from.
+FOLDS, HELD = 5, 0
 META = ["source", "lang", "n_chars", "n_lines"]
 
 
@@ -178,14 +180,13 @@ def _columns(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, n_
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, unlabelled: int = 2000, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality") -> Model:
-    """Fit on at most ``per_class`` labelled rows of either class and ``unlabelled`` others, whole texts."""
+    """Fit on at most ``per_class`` labelled rows of either class and ``unlabelled`` others, whole texts, none of the held-out fold."""
     rows = docs.select(*_columns(docs, doc_id, text, source, lang, n_chars)).filter(F.col("doc_id").isNotNull())
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("quality")).filter(F.col("quality").isin(0, 1)).distinct()
-    rows = rows.join(known, "doc_id", "left").withColumn("kind", F.coalesce("quality", F.lit(-1)))
-    most = max(per_class, unlabelled)
-    got = sample(rows, "kind", most)
-    if per_class < most:  # the smaller bound, on what is bounded already
-        got = sample(got.filter("kind >= 0"), "kind", per_class).unionByName(got.filter("kind < 0"))
+    known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD)
+    other = rows.select("doc_id").filter(fold(F.col("doc_id"), FOLDS) != HELD).join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"))
+    chosen = sample(known, "quality", per_class).unionByName(sample(other, "quality", unlabelled))
+    got = with_texts(chosen, rows, ["text", *META])
     return Model(**fit_in_task(got, lambda pdf: fit(pdf.sort_values(["doc_id", "text", "quality"], ignore_index=True))))
 
 
@@ -201,8 +202,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -
       labels counts as both. Other columns are ignored; an empty table gives an empty
       result.
     """
-    held = fold(F.col(doc_id), 5) == 0
-    model = train(docs.filter(~held), labels, doc_id=doc_id)
+    held = fold(F.col(doc_id), FOLDS) == HELD
+    model = train(docs, labels, doc_id=doc_id)
 
     @F.pandas_udf("text_score double, page_score double, score double")
     def scored(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series, n_lines: pd.Series) -> pd.DataFrame:
