@@ -131,7 +131,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def predict(model: Model, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
     """Language and probability of each text; ``und`` and 0 for a text without a letter."""
     names, scores = [], []
-    for batch in bounded_batches(texts):
+    for batch in bounded_batches(texts, 1_500_000):
         local = emissions(model, batch.vocab)[batch.words]
         probs = marginals(local, batch.lengths, model.moves)
         doc = _softmax(np.einsum("q,nql->nl", model.head, _quarters(batch, probs)))
@@ -263,14 +263,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def label(text: Column, model: Model) -> Column:
-    """Struct of lang_pred and score of a text column."""
+    """Struct of lang_pred and score of a text column.
+
+    Declared non-deterministic, which it is not, so that filters on it do not make the
+    planner work it out twice.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
         names, scores = predict(model, texts)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

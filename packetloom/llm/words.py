@@ -31,7 +31,7 @@ class Batch:
         self.vocab = list(vocab)
 
 
-def bounded_batches(texts: Iterable[str | None], chars: int = 4_000_000, split: Callable[[str], list[str]] = _LETTERS.findall) -> Iterator[Batch]:
+def bounded_batches(texts: Iterable[str | None], chars: int = 2_000_000, split: Callable[[str], list[str]] = _LETTERS.findall) -> Iterator[Batch]:
     """Whole texts in batches of about ``chars`` characters."""
     held: list[str | None] = []
     size = 0
