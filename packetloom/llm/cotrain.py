@@ -10,7 +10,7 @@ labelled rows kept aside, and the calibrated views are combined to score all row
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +35,14 @@ class Model:
     mix: np.ndarray
 
 
-def text_rows(texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def text_rows(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sparse features (row, column, value) of the text view, a batch at a time.
 
     Hashed words, word openings and word ends, averaged over the text, and a few shares:
     repeated words, capitals, word length.
     """
-    out, base = [], 0
-    for batch in bounded_batches(texts, split=str.split):
+    base = 0
+    for batch in bounded_batches(texts, 1_000_000, str.split):
         n, size = len(batch.lengths), np.maximum(batch.lengths, 1)
         owner = np.repeat(np.arange(n), batch.lengths)
         codes = Codes(batch.vocab)
@@ -59,9 +59,8 @@ def text_rows(texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray,
         rows = np.concatenate([np.repeat(doc, 4), np.repeat(np.arange(n), extra.shape[1])])
         cols = np.concatenate([table[word].ravel(), np.tile((1 << BITS) + np.arange(extra.shape[1]), n)])
         vals = np.concatenate([np.repeat(share, 4) * 8, extra.ravel()])
-        out.append((rows + base, cols, vals))
+        yield ((rows + base).astype(np.int32), cols.astype(np.int32), vals.astype(np.float32))
         base += n
-    return out
 
 
 TEXT_SIZE = (1 << BITS) + 5
@@ -109,11 +108,10 @@ class _Sparse:
         self.n = n
 
     def take(self, keep: np.ndarray) -> _Sparse:
-        place = np.full(self.n, -1)
+        place = np.full(self.n, -1, np.int32)
         place[keep] = np.arange(len(keep))
         on = place[self.row] >= 0
-        out = _Sparse([(place[self.row[on]], self.col[on], self.val[on])], len(keep))
-        return out
+        return _Sparse([(place[self.row[on]], self.col[on], self.val[on])], len(keep))
 
     def score(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -125,7 +123,7 @@ class _Sparse:
 def fit(frame: pd.DataFrame, rounds: int = 3, share: float = 0.05, kept: int = 5) -> Model:
     """Co-train on a frame of text, META and quality (1, 0 or missing)."""
     texts = [t if isinstance(t, str) else None for t in frame["text"]]
-    words = _Sparse(text_rows(texts), len(texts))
+    words = _Sparse(list(text_rows(texts)), len(texts))
     page = page_rows(frame["source"], frame["lang"], frame["n_chars"], frame["n_lines"])
     y = frame["quality"].to_numpy(float)
     known = np.flatnonzero(~np.isnan(y))
@@ -166,9 +164,8 @@ def fit(frame: pd.DataFrame, rounds: int = 3, share: float = 0.05, kept: int = 5
 def views(model: Model, texts: Iterable[str | None], source, lang, n_chars, n_lines) -> tuple[np.ndarray, np.ndarray]:
     """Uncombined output of either view for each row."""
     texts = [t if isinstance(t, str) else None for t in texts]
-    parts = text_rows(texts)
     z = np.zeros(len(texts))
-    for row, col, val in parts:
+    for row, col, val in text_rows(texts):
         z += np.bincount(row, val * model.text[col], len(texts))
     return z, page_rows(source, lang, n_chars, n_lines) @ model.page
 
@@ -179,7 +176,7 @@ def _columns(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, n_
     return [F.col(doc_id).alias("doc_id"), body.alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(n_chars).cast("double").alias("n_chars"), lines.cast("double").alias("n_lines")]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, unlabelled: int = 2000, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, unlabelled: int = 1500, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality") -> Model:
     """Fit on at most ``per_class`` labelled rows of either class and ``unlabelled`` others, whole texts, none of the held-out fold."""
     rows = docs.select(*_columns(docs, doc_id, text, source, lang, n_chars)).filter(F.col("doc_id").isNotNull())
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("quality")).filter(F.col("quality").isin(0, 1)).distinct()
