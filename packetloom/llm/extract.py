@@ -6,8 +6,8 @@ blank lines, and text inside links does not count. The text lengths of every
 ``WINDOW`` lines in a row are summed; the article begins where the sum surges and
 ends where it dives to zero. The text between surge and dive is kept, and so is
 every other line of the element around it, so that an advert in the middle does
-not cut an article in two. Where the page names its article (article, main), that
-element takes the place of surge and dive.
+not cut an article in two. Where the page names its article (article, main), what
+surge and dive found is widened to the named elements around it and bounded by them.
 """
 
 from __future__ import annotations
@@ -76,16 +76,17 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:[\s/]|$)", _QUOTED.sub("", attributes)))
 
 
-def lines(page: str) -> list[tuple[str, int, tuple[int, ...], int]]:
-    """(text, length outside links, elements around it, part) of each line; blank lines where something was left out.
+def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
+    """(text, length outside links, elements around it, named) of each line; blank lines where something was left out.
 
-    ``part`` is the number of the innermost article or main element around the line, 0 outside.
+    ``named`` are the article and main elements around the line, outermost first.
     """
-    out: list[tuple[str, int, tuple[int, ...], int]] = []
+    out: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
     text: list[str] = []
     loose = 0  # characters outside links
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, left out, part and elements before
-    skipping = linked = part = number = 0
+    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, left out, named and elements before
+    skipping = linked = number = 0
+    part: tuple[int, ...] = ()
     around: tuple[int, ...] = ()
 
     def flush() -> None:
@@ -145,7 +146,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], int]]:
             text.append(" ")
         if tag in VOID or attributes.endswith("/"):
             continue
-        left_out = not skipping and _aside(tag, attributes, part > 0)
+        left_out = not skipping and _aside(tag, attributes, bool(part))
         if left_out:
             flush()
         stack.append((tag, left_out, part, around))
@@ -155,7 +156,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], int]]:
             number += 1
             around = (*around, number)
         if tag in ("article", "main") and not skipping:
-            part = number
+            part = (*part, number)
     close(0)
     if not skipping:
         flush()
@@ -170,13 +171,6 @@ def main_text(page: str | None) -> str:
     size = np.array([n if n * 2 >= len(t) else 0 for t, n, *_ in found])
     if not size.any():
         return ""
-    # an article or main element that holds a fair share of the text is the article
-    by: dict[int, int] = {}
-    for n, (*_, part) in zip(size.tolist(), found):
-        by[part] = by.get(part, 0) + n
-    home = max((p for p in by if p), key=lambda p: (by[p], -p), default=0)
-    if home and 4 * by[home] >= by.get(0, 0):
-        return "\n\n".join(t for t, *_, part in found if t and part == home)
     # surge and dive: runs of lines between stretches of WINDOW lines without text
     window = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1 :]  # sum over a line and those after it
     run = np.cumsum(np.r_[True, (window[1:] > 0) & (window[:-1] == 0)])
@@ -184,6 +178,21 @@ def main_text(page: str | None) -> str:
     surged = np.bincount(run, window >= SURGE) > 0
     surged[total.argmax()] = True
     kept = surged[run] & (size > 0)
+    # article and main elements with a fair share of the text: what surged is widened to those around it and bounded by them
+    whole: dict[int, int] = {}
+    hit: dict[int, int] = {}
+    for n, k, (*_, named) in zip(size.tolist(), kept.tolist(), found):
+        for e in named:
+            whole[e] = whole.get(e, 0) + n
+            hit[e] = hit.get(e, 0) + n * k
+    loose = sum(n for n, x in zip(size.tolist(), found) if not x[3])
+    wanted: set[int] = set()
+    for i in np.flatnonzero(kept):
+        named = found[i][3]
+        # the outermost that is nearly all surge, or else the innermost
+        wanted.update(next(((e,) for e in named if 10 * hit[e] >= 9 * whole[e]), named[-1:]))
+    if wanted and 4 * sum(n for n, x in zip(size.tolist(), found) if wanted.intersection(x[3])) >= loose:
+        return "\n\n".join(t for t, *_, named in found if t and wanted.intersection(named))
     # what else stands in the innermost element around nearly all of it belongs to it
     held: dict[int, int] = {}
     for i in np.flatnonzero(kept):
