@@ -57,8 +57,11 @@ def _kept_out(name: str, inside: bool) -> bool:
     return any(p in NAMES and not (inside and p == "header") for p in parts)
 
 
-def _aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Is the element left out with all it holds? ``inside`` an article, a header is that of the article."""
+def _aside(tag: str, attributes: str, inside: bool, names: bool = True) -> bool:
+    """Is the element left out with all it holds? ``inside`` an article, a header is that of the article.
+
+    Without ``names`` classes and ids say nothing.
+    """
     if tag in NO_ARTICLE and not (inside and tag == "header"):
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -69,7 +72,7 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and any(_kept_out(v, inside) for v in value.split()) and (tag != "article" or inside):
+        if names and name in ("class", "id") and any(_kept_out(v, inside) for v in value.split()) and (tag != "article" or inside):
             return True
         if name == "class" and tag == "article" and re.search(r"comment|repl(y|ies)|teaser|related|promo", value, re.I):
             return True
@@ -79,12 +82,35 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
 def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
     """(text, length outside links, elements around it, named) of each line; blank lines where something was left out.
 
-    ``named`` are the article and main elements around the line, outermost first.
+    ``named`` are the article and main elements around the line, outermost first. A
+    name leaves an element out only if that leaves a text: not if the only article or
+    main stands in it, nor, comments aside, if it holds nearly all text of the page.
+    """
+    spared: set[int] = set()
+    while True:
+        out, left = _lines(page, spared)
+        size = sum(n for _, n, *_ in out)
+        whole = size + sum(n for _, n, *_ in left)
+        more = set() if any(x[3] for x in out) else {at for at, _, holds, _ in left if holds}
+        more |= {at for at, n, _, talk in left if n and (not size or not talk and 5 * n > 4 * whole)}
+        if not more:
+            return out
+        spared |= more
+
+
+def _lines(page: str, spared: set[int]) -> tuple[list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], list[tuple[int, int, bool, bool]]]:
+    """The lines, where elements that start at ``spared`` are not left out for their names.
+
+    Also of each element left out for its names: start, length of its text outside
+    links, whether an article or main stands in it, whether it holds comments.
     """
     out: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+    left: list[tuple[int, int, bool, bool]] = []
+    soft, lost, holds, talk = -1, 0, False, False  # the element left out for its names
+    hard = 0  # elements in it that are left out in any case
     text: list[str] = []
     loose = 0  # characters outside links
-    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, left out, named and elements before
+    stack: list[tuple[str, bool, bool, tuple[int, ...], tuple[int, ...]]] = []  # tag, left out, left out within such, named and elements before
     skipping = linked = number = 0
     part: tuple[int, ...] = ()
     around: tuple[int, ...] = ()
@@ -98,12 +124,16 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
         loose = 0
 
     def close(to: int) -> None:
-        nonlocal skipping, linked, part, around
+        nonlocal skipping, linked, part, around, soft, lost, holds, hard
         while len(stack) > to:
-            tag, left_out, before, outer = stack.pop()
+            tag, left_out, within, before, outer = stack.pop()
             if tag in BLOCK and not skipping:
                 flush()
             skipping -= left_out
+            hard -= within
+            if left_out and soft >= 0:
+                left.append((soft, lost, holds, talk))
+                soft, lost, holds = -1, 0, False
             linked -= tag == "a"
             part, around = before, outer
             if left_out and not skipping:
@@ -117,6 +147,8 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
             run = page[at:stop] if token else _UNENDED.sub("", page[at:stop])
             text.append(run)
             loose += 0 if linked else len(run.strip())
+        elif stop > at and soft >= 0 and not hard and not linked:
+            lost += len(page[at:stop].strip())
         if token is None:
             break
         at = token.end()
@@ -146,10 +178,16 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
             text.append(" ")
         if tag in VOID or attributes.endswith("/"):
             continue
-        left_out = not skipping and _aside(tag, attributes, bool(part))
+        left_out = not skipping and _aside(tag, attributes, bool(part), token.start() not in spared)
+        within = soft >= 0 and _aside(tag, attributes, bool(part))
+        hard += within
         if left_out:
             flush()
-        stack.append((tag, left_out, part, around))
+            if not _aside(tag, attributes, bool(part), False):
+                soft, talk = token.start(), bool(re.search("comment|discuss|disqus|repl|respond|reaction", attributes, re.I))
+        elif soft >= 0 and not hard:
+            holds |= tag in ("article", "main")
+        stack.append((tag, left_out, within, part, around))
         skipping += left_out
         linked += tag == "a"
         if tag in BLOCK:
@@ -160,7 +198,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...], tuple[int, ...]]]:
     close(0)
     if not skipping:
         flush()
-    return out
+    return out, left
 
 
 def main_text(page: str | None) -> str:
