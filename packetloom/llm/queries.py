@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import cotrain, covertree, decontam, extract, langid, packing, pii, sharding, simhash, toxicity
+from packetloom.llm import cotrain, covertree, decontam, extract, langid, lines, packing, phrases, pii, runs, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +89,46 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+@query("""WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents), words AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') AS w FROM piece), spot AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), gram AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM spot, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w)), f AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS n FROM gram GROUP BY lang, m, phrase HAVING count(*) >= 10), total AS (
+  SELECT lang, count(*) AS n FROM spot GROUP BY lang), inner_phrase AS (
+  SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, n FROM f WHERE m = 3), longer AS (
+  SELECT lang, phrase, max(n) AS n FROM inner_phrase GROUP BY lang, phrase), candidate AS (
+  SELECT f.* FROM f LEFT JOIN longer g ON g.lang = f.lang AND g.phrase = f.phrase WHERE f.m >= 2 AND (g.n IS NULL OR 100 * g.n < 50 * f.n)), cut AS (
+  SELECT lang, phrase, w, m, n AS a, unnest(range(1, m)) AS k FROM candidate), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (CAST(c.a AS HUGEINT) * c.a * 1000000) // (CAST(x.n AS HUGEINT) * y.n) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, total.n AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digest(runs.periodic_runs(docs.withColumn("text", runs.repeat_tails(F.col("doc_id"), F.col("text")))))
+
+
+@query("""WITH line AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line), held AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
