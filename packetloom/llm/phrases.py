@@ -31,7 +31,7 @@ from packetloom.functions.scratch import materialize
 #: Bytes of text whose suffixes are sorted together, and bytes of text a range is meant to hold suffixes of.
 BATCH, PER_RANGE = 6_000_000, 8_000_000
 #: Partitions up to this size are ordered at once.
-SMALL = 4096
+SMALL = 1 << 16
 _FOLD = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _SUFFIX = "lang string, suffix string, n long"
 _PHRASE = "lang string, size int, phrase string, n long"
@@ -65,7 +65,15 @@ def equal_partitions(keys: list[np.ndarray], weight: np.ndarray, least: int) ->
 
 
 def _ordered(keys: list[np.ndarray], weight: np.ndarray, least: int, at: np.ndarray, d: int) -> Iterator[tuple]:
-    at = at[np.lexsort([k[at] for k in reversed(keys[d:])])]
+    left = [k[at] for k in keys[d:]]
+    bits = [int(k.max()).bit_length() for k in left]
+    if sum(bits) < 64:  # the keys side by side in one number
+        packed = np.zeros(len(at), np.int64)
+        for k, b in zip(left, bits):
+            packed = (packed << b) | k
+        at = at[np.argsort(packed)]
+    else:
+        at = at[np.lexsort(left[::-1])]
     new = np.zeros(len(at), bool)
     new[:1] = True
     for depth in range(d, len(keys)):
