@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from packetloom.functions.dims import attach
-from packetloom.functions.ordering import digest_int, digest_unit, mark_quota, repeat_rows
+from packetloom.functions.ordering import digest, digest_int, digest_unit, mark_quota, numbered, repeat_rows
 from packetloom.functions.scratch import materialize
+from packetloom.operators.hashed import Hashing, hashed_neighbours
 
 _PIVOTS = 512
 _BLOCK = 8_192
@@ -152,11 +153,13 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int, by: str | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int, by: str | None = None, hashing: Hashing | None = None) -> DataFrame:
     """The ``k`` nearest other rows of each row, Euclidean, ties to the smaller id.
 
-    ``by`` searches inside the row's own class. Columns: id, (by,) rank,
-    neighbour, distance.
+    ``by`` searches inside the row's own class. Exact, or with ``hashing`` among those
+    that share a bucket in one of its tables: work then grows with the rows, not with
+    their square, and some neighbours are missed (see ``hashed.recall``). Columns: id,
+    (by,) rank, neighbour, distance.
     """
     group = F.col(by).cast("string") if by else F.lit("all")
     points = df.select(
@@ -168,7 +171,7 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int, by: str | None = No
     vecs = materialize(
         firsts.groupBy("g", "v").agg(F.min("id").alias("vid"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors"
     )
-    near = _vector_neighbours(vecs, k)
+    near = hashed_neighbours(vecs, k, hashing) if hashing else _vector_neighbours(vecs, k)
     ids = vecs.select("g", F.col("vid").alias("nvid"), "ids")
     own = vecs.select("g", "vid", F.lit(0.0).alias("distance"), F.explode("ids").alias("neighbour"))
     others = near.join(ids, ["g", "nvid"]).select("g", "vid", "distance", F.explode("ids").alias("neighbour"))
@@ -188,20 +191,22 @@ def nearest(df: DataFrame, id_col: str, vector: str, k: int, by: str | None = No
 
 
 def oversample(
-    df: DataFrame, id_col: str, vector: str, label: str, targets: dict, k: int = 3, seed: int = 42
+    df: DataFrame, id_col: str, vector: str, label: str, targets: dict, k: int = 3, seed: int = 42, hashing: Hashing | None = None
 ) -> DataFrame:
     """Synthetic rows that bring each listed class up to its target size.
 
     Every row of the class is a base equally often (the remainder is drawn); a
     synthetic point lies between its base and one of the base's ``k`` nearest
-    neighbours of the class. Choice and position follow from digests.
+    neighbours of the class. Choice and position follow from digests. Classes that
+    have their size already get no row.
     Columns: label, base id, copy number, neighbour id, u, vector.
     """
     classes = df.filter(F.col(label).isin(list(targets)))
     counts = {r[label]: r["n"] for r in classes.groupBy(label).agg(F.count("*").alias("n")).collect()}
     wanted = {c: targets[c] - n for c, n in counts.items() if targets[c] > n}
     if not wanted:
-        raise ValueError("every listed class already has its target size")
+        kind = df.schema[label].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{label}` {kind}, base bigint, copy bigint, neighbour bigint, u double, `{vector}` array<double>")
     part = df.filter(F.col(label).isin(list(wanted))).select(
         F.col(id_col).cast("bigint").alias("id"), label, F.col(vector).cast("array<double>").alias("v")
     )
@@ -214,7 +219,7 @@ def oversample(
     base = repeat_rows(
         drawn.withColumn("times", F.col("each") + F.col("drawn").cast("bigint")).select("id", label, "v", "times"), "times", "copy"
     ).drop("times")
-    near = nearest(part, "id", "v", k, label).select("id", "rank", "neighbour")
+    near = nearest(part, "id", "v", k, label, hashing).select("id", "rank", "neighbour")
     lists = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))  # at most k
     tag = F.concat_ws(":", "id", "copy", F.lit(seed))
     picked = (
@@ -232,9 +237,9 @@ def oversample(
     )
 
 
-def tomek_links(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+def tomek_links(df: DataFrame, id_col: str, vector: str, label: str, hashing: Hashing | None = None) -> DataFrame:
     """Pairs of rows of different class that are each other's nearest neighbour."""
-    near = nearest(df, id_col, vector, 1)
+    near = nearest(df, id_col, vector, 1, hashing=hashing)
     labels = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("lab"))
     one = near.select(F.col(id_col).alias("id"), "neighbour", "distance").join(labels, "id")
     other = one.select(F.col("id").alias("neighbour"), F.col("neighbour").alias("id"), F.col("lab").alias("other_lab"))
@@ -243,20 +248,25 @@ def tomek_links(df: DataFrame, id_col: str, vector: str, label: str) -> DataFram
     )
 
 
-def drop_tomek(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+def drop_tomek(df: DataFrame, id_col: str, vector: str, label: str, hashing: Hashing | None = None) -> DataFrame:
     """Rows that are in no such pair."""
-    links = tomek_links(df, id_col, vector, label)
+    links = tomek_links(df, id_col, vector, label, hashing)
     ends = links.select(F.explode(F.array("first", "second")).alias("__end"))
     return df.join(ends, df[id_col] == ends["__end"], "left_anti")
 
 
-def oversample_and_clean(df: DataFrame, id_col: str, vector: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Every class raised to the size of the largest, then linked pairs removed."""
-    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    top = max(sizes.values())
-    extra = oversample(df, id_col, vector, label, {c: top for c, n in sizes.items() if n < top}, k, seed)
-    # ids of synthetic rows: negative, out of the digest of base and copy
-    new_id = -(F.conv(F.substring(F.md5(F.concat_ws(":", "base", "copy")), 1, 15), 16, 10).cast("bigint") + 1)
+def oversample_and_clean(df: DataFrame, id_col: str, vector: str, label: str, k: int = 5, seed: int = 42, hashing: Hashing | None = None) -> DataFrame:
+    """Every class raised to the size of the largest, then linked pairs removed.
+
+    Synthetic rows are numbered downwards from below the smallest id (and below 0).
+    """
+    sizes = {r[label]: r["n"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
+    top = max(sizes.values(), default=0)
     rows = df.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vector).cast("array<double>").alias(vector), label)
-    pooled = rows.unionByName(extra.select(new_id.alias(id_col), vector, label))
-    return drop_tomek(materialize(pooled, "balanced"), id_col, vector, label)
+    small = {c: top for c, n in sizes.items() if n < top}
+    if small:
+        extra = materialize(oversample(df, id_col, vector, label, small, k, seed, hashing), "synthetic")
+        low = min(0, rows.agg(F.min(id_col)).first()[0] or 0)
+        extra = numbered(extra, digest(["base", "copy"], seed), ["base", "copy"], "__no")
+        rows = rows.unionByName(extra.select((F.lit(low) - 1 - F.col("__no")).cast("bigint").alias(id_col), vector, label))
+    return drop_tomek(materialize(rows, "balanced"), id_col, vector, label, hashing)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from packetloom.functions.scratch import materialize
 from packetloom.operators import neighbours as nb
 from packetloom.operators import prep, sampling, schema
+from packetloom.operators.hashed import Hashing, recall
 from packetloom.operators.models import permutation_importance as permute
 from packetloom.plans.registry import query
 from packetloom.plans.views import FLOWS, KEY, MD5_KEY, NUM, SHARED, SOURCES, Views, rounded
@@ -163,6 +165,16 @@ def knn_within_class(v: Views):
     return rounded(nb.nearest(v.points(), "vec_id", "v", 3, "label"))
 
 
+@query(f"WITH {_PTS} SELECT label, count(*) AS points, least(3, count(*) - 1) * count(*) AS neighbours, 1 AS recalled FROM pts GROUP BY label")
+def knn_hashed(v: Views):
+    """Approximate neighbours of every point: how many each class has, and whether nine tenths of the exact ones are found."""
+    found = materialize(nb.nearest(v.points(), "vec_id", "v", 3, "label", Hashing()), "hashed")
+    exact = nb.nearest(v.points(), "vec_id", "v", 3, "label")
+    share = recall(found, exact, ["vec_id"]).first()["recall"]
+    per = found.groupBy("label").agg(F.countDistinct("vec_id").alias("points"), F.count("*").alias("neighbours"))
+    return per.withColumn("recalled", F.lit(int(share >= 0.9)))
+
+
 @query(f"""WITH {_PTS}, near AS (
   SELECT a.vec_id AS first, b.vec_id AS second, a.label AS first_label, b.label AS second_label, list_distance(a.v, b.v) AS distance
   FROM pts a JOIN pts b ON a.vec_id <> b.vec_id
@@ -195,7 +207,7 @@ based AS (SELECT p.vec_id, p.label, p.v, m // n + CASE WHEN row_number() OVER (P
 copies AS (SELECT vec_id AS base, label, v, unnest(range(1, times + 1)) AS copy FROM based),
 drawn AS (SELECT *, 1 + CAST('0x' || substr(md5(base || ':' || copy || ':42:n'), 1, 8) AS BIGINT) % 3 AS rank,
   CAST('0x' || substr(md5(base || ':' || copy || ':42:u'), 1, 8) AS BIGINT) / 4294967295.0 AS u FROM copies),
-made AS (SELECT -(CAST('0x' || substr(md5(d.base || ':' || d.copy), 1, 15) AS BIGINT) + 1) AS vec_id,
+made AS (SELECT least(0, (SELECT min(vec_id) FROM pts)) - row_number() OVER (ORDER BY md5(d.base || '|' || d.copy || ':42'), d.base, d.copy) AS vec_id,
   list_transform(range(1, len(d.v) + 1), lambda i: d.v[i] + d.u * (q.v[i] - d.v[i])) AS v, d.label
   FROM drawn d JOIN near n ON n.vec_id = d.base AND n.rank = d.rank JOIN pts q ON q.vec_id = n.neighbour),
 pool AS (SELECT vec_id, v, label FROM pts UNION ALL SELECT vec_id, v, label FROM made),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from packetloom.functions.scratch import materialize
 
 PACKET_SCHEMA = "file string, pkt_seq bigint, ts double, orig_len bigint, raw binary"
 
@@ -41,8 +48,7 @@ def _records(content: bytes, file: str) -> Iterator[tuple[float, int, bytes]]:
 def split_captures(files: DataFrame) -> DataFrame:
     """(path, content) rows to one row per packet, in file order.
 
-    Record offsets depend on the record before, so a file is one unit of work;
-    files run in parallel and rows leave in batches.
+    For contents that are values already; ``read_captures`` reads files of any size.
     """
     schema = pa.schema(
         [("file", pa.string()), ("pkt_seq", pa.int64()), ("ts", pa.float64()), ("orig_len", pa.int64()), ("raw", pa.binary())]
@@ -64,23 +70,200 @@ def split_captures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(split, PACKET_SCHEMA)
 
 
-def read_captures(spark: SparkSession, path: str, glob: str = "*.pcap", max_file_bytes: int = (1 << 31) - 1) -> DataFrame:
-    """All capture files below ``path`` as packet rows.
+# ---------------------------------------------------------------- files in ranges
+#
+# A record's place follows from the record before it, so a range of bytes in the middle
+# of a file has to find its first record. It looks for a chain of headers that could be
+# records, and walks from there to the end of the range. The ranges of a file are then
+# held against one another: each has to begin where the walk of the one before ended.
+# Ranges that found something else (bytes in a payload that look like records) walk
+# again from there, until all agree, so the packets are those of a walk from the start.
+
+RANGE_BYTES = 64 << 20
+#: No record is longer; the limit of the usual capture tools.
+MAX_RECORD = 262_144
+_CHAIN, _READ, _PAUSE = 6, 1 << 20, 366 * 86_400
+_RANGE = "file string, length bigint, no bigint, begin bigint, end bigint"
+_WALKED = f"{_RANGE}, first bigint, next bigint, packets bigint"
+
+
+def _open(path: str):
+    """A file of any store that Arrow knows, read by position."""
+    if path.startswith("file:"):
+        path = re.sub("^file:/+", "/", path)
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path)
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+class _Bytes:
+    """A file's bytes by position; holds one stretch of about a megabyte."""
+
+    def __init__(self, path: str, length: int):
+        self.file, self.length = _open(path), length
+        self.at, self.held = 0, b""
+
+    def get(self, at: int, size: int) -> memoryview:
+        if not (self.at <= at and at + size <= self.at + len(self.held)):
+            self.at, self.held = at, self.file.read_at(min(max(size, _READ), max(0, self.length - at)), at)
+        return memoryview(self.held)[at - self.at : at - self.at + size]
+
+
+class _Capture(_Bytes):
+    def __init__(self, path: str, length: int):
+        super().__init__(path, length)
+        self.kind = _MAGIC.get(bytes(self.get(0, 4)))
+        if self.kind is None:
+            raise ValueError(f"{path}: not a packet capture")
+        self.order, self.fraction = self.kind
+        self.head = struct.Struct(self.order + "IIII")
+        first = self.get(_FILE_HEADER, _RECORD_HEADER)
+        self.began = self.head.unpack(first)[0] if len(first) == _RECORD_HEADER else 0
+
+    def walk(self, at: int, end: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(place, seconds, fraction, size, original size) of the records that begin before ``end``; a cut-off last one is left out."""
+        while at < end and at + _RECORD_HEADER <= self.length:
+            sec, frac, size, orig = self.head.unpack(self.get(at, _RECORD_HEADER))
+            if at + _RECORD_HEADER + size > self.length:
+                return
+            yield at, sec, frac, size, orig
+            at += _RECORD_HEADER + size
+
+    def _could_be(self, sec, frac, size, orig):
+        """Whether numbers (or arrays of them) can be those of a record."""
+        near = abs(sec - self.began) <= _PAUSE
+        return near & (frac < self.fraction) & (size > 0) & (size <= MAX_RECORD) & (size <= orig) & (orig <= MAX_RECORD)
+
+    def _chain(self, at: int) -> bool:
+        for _ in range(_CHAIN):
+            if at + _RECORD_HEADER > self.length:
+                return at <= self.length
+            head = self.head.unpack(self.get(at, _RECORD_HEADER))
+            if not self._could_be(*head):
+                return False
+            at += _RECORD_HEADER + head[2]
+        return True
+
+    def first_record(self, begin: int, end: int) -> int | None:
+        """The first place in [begin, end) where a chain of records seems to begin."""
+        for at in range(begin, end, _READ // 2):
+            stop = min(end, at + _READ // 2)
+            data = np.frombuffer(self.get(at, min(stop - at + _RECORD_HEADER - 1, self.length - at)), np.uint8)
+            if len(data) < _RECORD_HEADER:
+                return None
+            words = np.lib.stride_tricks.sliding_window_view(data, 4).copy().view(f"{self.order}u4")[:, 0].astype(np.int64)
+            n = min(stop - at, len(words) - 12)
+            maybe = self._could_be(words[:n], words[4 : n + 4], words[8 : n + 8], words[12 : n + 12])
+            for i in np.flatnonzero(maybe):
+                if self._chain(at + int(i)):
+                    return at + int(i)
+        return None
+
+
+def _walk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first record of each range, where its last one ends, and how many there are."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            capture = _Capture(row["file"], row["length"])
+            begin, end = row["begin"], row["end"]
+            first = _FILE_HEADER if begin == 0 else row["given"] if row["given"] is not None else capture.first_record(begin, end)
+            if first is None or first >= end:
+                out.append({**row, "first": None, "next": first, "packets": 0})
+                continue
+            at, n = first, 0
+            for place, _, _, size, _ in capture.walk(first, end):
+                at, n = place + _RECORD_HEADER + size, n + 1
+            out.append({**row, "first": first, "next": at if at >= end else row["length"], "packets": n})
+        names = [c.split()[0] for c in _WALKED.split(", ")]
+        kinds = {"file": pa.string()}
+        yield pa.record_batch([pa.array([r[c] for r in out], kinds.get(c, pa.int64())) for c in names], names=names)
+
+
+def _range_packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("file", pa.string()), ("pkt_seq", pa.int64()), ("ts", pa.float64()), ("orig_len", pa.int64()), ("raw", pa.binary())])
 
-    A file is one value of the engine's binary reader, which ends at 2 GiB: larger
-    captures are named and refused, rotate or split them first.
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            capture = _Capture(row["file"], row["length"])
+            rows, held = [], 0
+            for i, (at, sec, frac, size, orig) in enumerate(capture.walk(row["first"], row["end"])):
+                rows.append((row["file"], row["base"] + i, sec + frac / capture.fraction, orig, bytes(capture.get(at + _RECORD_HEADER, size))))
+                held += size
+                if len(rows) == _BATCH_ROWS or held >= 32 * _READ:
+                    yield packed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(rows)
+
+
+def capture_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Ranges of capture files, each with its first record, the place after its last one, and its packets.
+
+    ``files`` holds (path, length). Stored once. Only record headers are looked at.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(path)
-    )
-    large = files.filter(F.col("length") > max_file_bytes).select("path").limit(5).collect()
-    if large:
-        names = ", ".join(r["path"] for r in large)
-        raise ValueError(f"captures above {max_file_bytes} bytes, split them first: {names}")
-    return split_captures(files)
+    spans = files.select(F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.col("length") - 1).cast("bigint"), F.lit(range_bytes).cast("bigint"))).alias("begin"))
+    spans = spans.select("file", "length", F.expr(f"begin div {range_bytes}").alias("no"), "begin", F.least(F.col("begin") + range_bytes, "length").alias("end"), F.lit(None).cast("bigint").alias("given"))
+    n = files.agg(F.sum(F.expr(f"1 + length div {range_bytes}"))).first()[0] or 1
+    walked = materialize(spans.repartition(min(n, MAX_TASKS), "file", "no").mapInArrow(_walk_ranges, _WALKED), "ranges")
+    before = W.partitionBy("file").orderBy("no")
+    # as far as any range with a record came before: ranges inside a long record are all put right in
+    # one round. The first wrong range has only right ones before it, so each round settles it for good.
+    ended = F.max(F.when(F.col("first").isNotNull() | (F.col("no") == 0), F.col("next"))).over(before.rowsBetween(W.unboundedPreceding, -1))
+    while True:
+        told = walked.withColumn("due", F.when(F.col("no") > 0, ended))
+        told = told.withColumn("wrong", F.col("due").isNotNull() & ~F.coalesce(F.col("first"), F.col("due")).eqNullSafe(F.col("due")) | F.col("first").isNull() & (F.col("due") < F.col("end")) & (F.col("due") + _RECORD_HEADER <= F.col("length")))
+        wrong = told.filter(F.coalesce("wrong", F.lit(False)))
+        if wrong.isEmpty():
+            return walked
+        # a place before the range is one that the ranges between have yet to settle
+        given = F.when(F.col("due") >= F.col("begin"), F.col("due"))
+        again = wrong.select("file", "length", "no", "begin", "end", given.alias("given")).repartition(min(n, MAX_TASKS), "file", "no").mapInArrow(_walk_ranges, _WALKED)
+        right = told.filter(~F.coalesce("wrong", F.lit(False))).select(*walked.columns)
+        walked = materialize(right.unionByName(again), "ranges")
+
+
+#: Ranges beyond this many share tasks.
+MAX_TASKS = 20_000
+
+
+def read_captures(spark: SparkSession, path: str, glob: str = "*.pcap", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """All capture files below ``path`` as packet rows, numbered within their file.
+
+    Files of any size are read in ranges of ``range_bytes``, each by a task of its own;
+    nothing is held but a stretch of the file. A cut-off last record is left out. A file
+    that does not begin like a capture ends the job, with its name.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+    ranges = capture_ranges(files, range_bytes)
+    base = F.coalesce(F.sum("packets").over(W.partitionBy("file").orderBy("no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    due = materialize(ranges.withColumn("base", base).filter("packets > 0").select("file", "length", "no", "first", "end", "base"), "ranges")
+    n = max(1, min(due.count(), MAX_TASKS))
+    return due.repartition(n, "file", "no").mapInArrow(_range_packets, PACKET_SCHEMA)
+
+
+def write_captures(contents: DataFrame, folder: str) -> DataFrame:
+    """Write (path, content) rows as files below ``folder``; (path, length) of what was written.
+
+    A row that is written again replaces its file.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f"{folder.rstrip('/')}/{p}" for p in batch.column("path").to_pylist()]
+            for name, content in zip(names, batch.column("content")):
+                local = re.sub("^file:/+", "/", name)
+                store, inner = (fs.LocalFileSystem(), local) if "://" not in local else fs.FileSystem.from_uri(local)
+                store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(inner) as out:
+                    out.write(content.as_buffer())
+            yield pa.record_batch([pa.array(names), pc.binary_length(batch.column("content")).cast(pa.int64())], names=["path", "length"])
+
+    return materialize(contents.select("path", "content").mapInArrow(put, "path string, length bigint"), "written")
 
 
 def _uint(raw: str, pos: Column | int, size: int) -> Column:

@@ -90,7 +90,7 @@ def test_readers(spark, tmp_path):
     ddl = "a int, b string"
     good, status = src.read_csv_tolerant(spark, [str(tmp_path / "mon.csv"), str(tmp_path / "tue.csv")], spark.createDataFrame([], ddl).schema)
     assert sorted(r["b"] for r in good.collect()) == ["x", "y", "z"]
-    assert sorted(map(tuple, status.collect())) == [("mon.csv", 2, 0, 0), ("tue.csv", 1, 1, 0)]
+    assert sorted(map(tuple, status.collect())) == [("mon.csv", "ok", 2, 0, 0), ("tue.csv", "partly bad", 1, 1, 0)]
     tagged = src.read_csv_tagged(spark, {"Monday": str(tmp_path / "mon.csv"), "Tuesday": str(tmp_path / "tue.csv")}, "a string, b string")
     assert sorted((r["day"], r["a"]) for r in tagged.collect()) == [("Monday", "1"), ("Monday", "2"), ("Tuesday", "3"), ("Tuesday", "bad")]
     assert src.read_csv(spark, str(tmp_path), None, glob="m*.csv").dtypes == [("a", "int"), ("b", "string")]
