@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import time
 from collections.abc import Callable
 from functools import reduce
@@ -52,8 +54,12 @@ def scaling_stage(scaler: Scaler) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__")
 
 
-def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Scaler | None = None) -> PipelineModel:
-    """Fit a pipeline: scale (if a scaler is given), assemble, learn."""
+def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Scaler | None = None, stored: bool = False) -> PipelineModel:
+    """Fit a pipeline: scale (if a scaler is given), assemble, learn.
+
+    The rows are read several times. They are written once first, unless ``stored``
+    says that ``df`` is a plain read already.
+    """
     require(df, [*features, label])
     inputs = [f"{c}__scaled" for c in features] if scaler else features
     stages = [scaling_stage(scaler)] if scaler else []
@@ -62,21 +68,25 @@ def train(df: DataFrame, features: list[str], label: str, estimator, scaler: Sca
         estimator.setLabelCol(label).setFeaturesCol("features"),
     ]
     weight = estimator.getWeightCol() if estimator.isDefined("weightCol") else None
-    data = spread(materialize(df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else [])), "train"))
+    data = df.select(*features, F.col(label).cast("double").alias(label), *([weight] if weight else []))
+    data = data if stored else spread(materialize(data, "train"))
     return Pipeline(stages=stages).fit(data)
 
 
-def score(model: PipelineModel, df: DataFrame, confidence: bool = False) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, confidence: bool = False, probabilities: str | None = None) -> DataFrame:
     """Adds ``pred`` and, where the model gives probabilities, ``score`` (of class 1).
 
-    ``confidence`` is the probability of the predicted class, four decimals.
+    ``confidence`` is the probability of the predicted class, four decimals;
+    ``probabilities`` names a column for those of all classes.
     """
     out = model.transform(df)
     extra = ["features", "rawPrediction", "probability", "prediction"]
     cols = [F.col("prediction").cast("int").alias("pred")]
     if "probability" in out.columns:
         p = vector_to_array("probability")
-        cols.append(p[1].alias("score"))
+        cols.append(F.get(p, F.lit(1)).alias("score"))
+        if probabilities:
+            cols.append(p.alias(probabilities))
         if confidence:
             cols.append(F.round(F.get(p, F.col("prediction").cast("int")), 4).alias("confidence"))
     keep = [c for c in out.columns if c not in extra and not c.endswith("__scaled")]
@@ -209,61 +219,73 @@ def _part(df: DataFrame, key: list[str], rows: int | None, seed: int) -> DataFra
     return df if rows is None else sample_n(df, key, rows, seed)
 
 
+def _shift(seed: int, run: int, feature: str, n: int) -> tuple[int, int]:
+    """(a, b) of the permutation at -> (a at + b) mod n of row numbers, a without a factor in common with n."""
+    drawn = lambda i: int(hashlib.md5(f"{seed}:{run}:{feature}:{i}".encode()).hexdigest()[:15], 16) % n
+    return next((a for a in map(drawn, range(64)) if math.gcd(a, n) == 1), 1), drawn("b")
+
+
 def permutation_importance(
     scorer: Scorer, df: DataFrame, features: list[str], label: str, key: list[str], repeats: int = 10, rows: int | None = None, seed: int = 42
 ) -> DataFrame:
     """(feature, importance, sd): accuracy lost when a feature's values are shuffled.
 
-    Works on all rows, or on a uniform sample of ``rows``. All shuffled copies of all
-    features are one table, scored in one pass by ``scorer``, which must add
-    ``pred`` to its input.
+    Works on all rows, or on a uniform sample of ``rows``. Rows are numbered in the
+    order of a digest; a shuffle is a keyed permutation of these numbers, so the row
+    that hands a value over is found by arithmetic, and one join fetches the values of
+    all shuffles. All shuffled copies are scored in one pass by ``scorer``, which must
+    add ``pred`` to its input.
     """
     sample = materialize(_part(df.select(*features, label, *key), key, rows, seed), "sample")
     base = accuracy(scorer(sample), label).select("accuracy").scalar()
-    at = numbered(sample, digest(key, seed), key, "at")
-    copies = at.withColumn("runs", F.array(*[F.struct(F.lit(r).alias("run"), F.lit(f).alias("feature")) for r in range(repeats) for f in features]))
-    copies = materialize(copies.select(*features, label, *key, "at", F.inline("runs")), "copies")
-    value = reduce(lambda acc, f: acc.when(F.col("feature") == f, F.col(f)), features[1:], F.when(F.col("feature") == features[0], F.col(features[0])))
-    donors = copies.select(*key, "run", "feature", value.cast("double").alias("donor"))
-    donors = numbered(donors, digest([*key, "run", "feature"], seed), key, "at", ["run", "feature"])
-    mixed = copies.join(donors.select("run", "feature", "at", "donor"), ["run", "feature", "at"])
-    mixed = mixed.withColumns({f: F.when(F.col("feature") == f, F.col("donor")).otherwise(F.col(f)) for f in features})
-    per = scorer(mixed.drop("donor", "at")).groupBy("feature", "run").agg(F.avg((F.col(label) == F.col("pred")).cast("int")).alias("acc"))
+    places = materialize(numbered(sample, digest(key, seed), [*key, *features, label], "at"), "sample")
+    n = max(1, places.count())
+    wide = "decimal(38, 0)" if n > 3_000_000_000 else "bigint"  # the product passes 64 bits
+    runs = []
+    for r in range(repeats):
+        for f in features:
+            a, b = _shift(seed, r, f, n)
+            other = ((F.lit(a).cast(wide) * F.col("at") + b) % n).cast("bigint")
+            runs.append(F.struct(F.lit(r).alias("run"), F.lit(f).alias("feature"), other.alias("other")))
+    copies = places.select(*features, label, *key, F.inline(F.array(*runs)))
+    donors = places.select(F.col("at").alias("other"), *[F.col(f).alias(f"{f}__d") for f in features])
+    mixed = copies.join(donors, "other")
+    mixed = mixed.withColumns({f: F.when(F.col("feature") == f, F.col(f"{f}__d")).otherwise(F.col(f)) for f in features})
+    per = scorer(mixed.drop("other", *[f"{f}__d" for f in features])).groupBy("feature", "run").agg(F.avg((F.col(label) == F.col("pred")).cast("int")).alias("acc"))
     return per.groupBy("feature").agg(F.avg(base - F.col("acc")).alias("importance"), F.stddev_pop(base - F.col("acc")).alias("sd"))
 
 
 def attribution(
     scorer: Scorer, df: DataFrame, features: list[str], key: list[str], rows: int | None = None, draws: int = 8, seed: int = 42
 ) -> DataFrame:
-    """Sampled Shapley values: (key, feature, attribution) of all rows, or of a uniform sample of ``rows``.
-
-    Each draw orders the features at random and mixes the row with another row of
-    the sample; the score change when a feature joins those before it, averaged
-    over draws, is its attribution. All mixes are scored in one pass by
-    ``scorer``, which must add ``score``.
+    """Sampled Shapley values: (key, feature, attribution, error) of all rows, or of a uniform sample of ``rows``.
+
+    Each draw mixes a row with another row of the sample: the features join one by one
+    in a random order, and what the score gains when one joins is its share. The mixes
+    of a draw are one chain, each scored once, so a draw costs one mix more than there
+    are features. Every second draw takes the order of the one before backwards.
+    ``attribution`` is the mean share, ``error`` its standard error. The shares of a row
+    add up to its score less the mean score of the rows it was mixed with. Rows that
+    share a key are averaged. All mixes are scored in one pass by ``scorer``, which must
+    add ``score``.
     """
     sample = materialize(_part(df.select(*features, *key), key, rows, seed), "sample")
-    places = materialize(numbered(sample, digest(key, seed), key, "at"), "sample")
-    n = sample.agg(F.count("*")).first()[0]
+    places = materialize(numbered(sample, digest(key, seed), [*key, *features], "at"), "sample")
+    n = places.count()
     draw = places.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     # another row of the sample, a different step for each draw
     draw = draw.withColumn("other", (F.col("at") + 1 + digest_int(F.concat_ws(":", "draw", F.lit(seed)), max(n - 1, 1))) % n)
     back = places.select(F.col("at").alias("other"), *[F.col(f).alias(f"{f}__b") for f in features])
-    mixes = draw.join(back, "other").withColumn(
-        "mix",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(w).alias("joined")) for f in features for w in (0, 1)])),
-    ).select("*", "mix.*")
-
-    def place(feature):
-        return F.xxhash64(F.lit(seed), "at", "draw", feature)
-
-    cols = {}
-    for f in features:
-        own = (place(F.lit(f)) < place(F.col("feature"))) | ((F.col("feature") == f) & (F.col("joined") == 1))
-        cols[f] = F.when(own, F.col(f)).otherwise(F.col(f"{f}__b"))
-    scored = scorer(mixes.withColumns(cols).select(*key, "draw", "feature", "joined", *features))
-    signed = F.when(F.col("joined") == 1, F.col("score")).otherwise(-F.col("score"))
-    return scored.groupBy(*key, "feature").agg((F.sum(signed) / draws).alias("attribution"))
+    pair = F.expr("(draw + 1) div 2")
+    order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.lit(seed), "at", pair, F.lit(f)).alias("h"), F.lit(f).alias("f")) for f in features]))["f"]
+    order = F.when(F.col("draw") % 2 == 0, F.reverse(order)).otherwise(order)
+    mixes = draw.join(back, "other").withColumn("order", order).withColumn("joined", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    cols = {f: F.when(F.array_position("order", f) <= F.col("joined"), F.col(f)).otherwise(F.col(f"{f}__b")) for f in features}
+    scored = scorer(mixes.withColumns(cols).select(*key, "at", "draw", "order", "joined", *features))
+    chain = scored.groupBy(*key, "at", "draw", "order").agg(F.sort_array(F.collect_list(F.struct("joined", "score")))["score"].alias("s"))
+    gains = chain.select(*key, F.posexplode("order").alias("i", "feature"), "s").withColumn("gain", F.get("s", F.col("i") + 1) - F.get("s", F.col("i")))
+    error = F.coalesce(F.stddev_samp("gain") / F.sqrt(F.count("*")), F.lit(0.0))
+    return gains.groupBy(*key, "feature").agg(F.avg("gain").alias("attribution"), error.alias("error"))
 
 
 def attribution_ranking(values: DataFrame, k: int = 5) -> DataFrame:

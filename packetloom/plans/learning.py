@@ -1,8 +1,9 @@
 """Queries that train and apply models.
 
-What a learner finds differs between engines. Each query returns what does not: the
-rows of each class it was tested on, or the keys and figures of what it scored, and
-whether it did better than naming the largest class only.
+The labels follow from the features by rules (``Views.ruled_flows``, ``SOURCES``), so a
+result says whether the rule was learned: where labels carry no noise, verdicts and
+accuracies are what SQL says of the rule itself; where they do, ``sound`` asks for more
+than half of the way from naming the largest class only to no error at all.
 """
 
 from __future__ import annotations
@@ -23,53 +24,52 @@ from packetloom.operators.summaries import top_features
 from packetloom.plans.experiment import unified_experiment as experiment
 from packetloom.plans.registry import query
 from packetloom.plans.traffic import _ARRIVALS, _IDLE, _SESSIONS, arriving, captured
-from packetloom.plans.views import FEATURES_SQL, FLOWS, KEY, MD5_KEY, NUM, PACKETS, SHARED, SOURCES, Views, rounded
+from packetloom.operators.softmax import SoftmaxBoosting
+from packetloom.plans.views import FEATURES_SQL, FLOWS, KEY, MD5_KEY, NUM, PACKETS, RULED, SHARED, SOURCES, Views, rounded
 from packetloom.sources.captures import parse_packets, read_captures
 from packetloom.sources.tables import read_csv, write_csv
 from packetloom.streaming.flows import score_sessions, session_features, start
 
-# Learner sizes of the registered queries: fewer and shallower trees than the
-# operators' defaults, over all rows. The shared small model keeps its full size.
+# Learner sizes of the registered queries. The forest has the size of the published
+# comparison; boosting has fewer rounds than the operators' default of 100 (README).
 _SMALL = {"trees": 20, "depth": 4}
-_FOREST = {"trees": 20, "depth": 8}
+_FOREST = {"trees": 50, "depth": 8}
 _BOOST = {"trees": 10, "depth": 5}
+_SOFTMAX = {"trees": 4, "depth": 4, "step": 0.6}
 
 
 def _prepared(v: Views) -> prep.Prepared:
-    return prep.preprocess(v.binary_flows(), NUM, "y", KEY, keep=["label"], store=True)
+    return prep.preprocess(v.ruled_flows(), NUM, "y", KEY, keep=["code"], store=True)
 
 
 def _with_codes(v: Views):
     """Train and test rows with the class code as the label and balanced weights."""
     p = _prepared(v)
-    codes = prep.label_codes(p.rows, "label")
-    rows = prep.label_encode(p.rows, "label", codes, "code")
-    train = prep.with_class_weight(rows.filter(~F.col("is_test")), "code")
-    return train, rows.filter("is_test")
+    return prep.with_class_weight(p.train, "code"), p.test
 
 
-def _tested(scored: DataFrame, label: str, skill: bool = True) -> DataFrame:
+def _tested(scored: DataFrame, label: str, fine: bool = True) -> DataFrame:
     """Test rows of each class, and whether the verdicts hold.
 
-    ``sound``: every row has a verdict and, where ``skill`` is asked for, at least nine
-    tenths as many are right as naming the largest class only would get.
+    ``sound``: every row has a verdict, four fifths of the class are told right, and all
+    in all more than half of what naming the largest class only gets wrong.
     """
     hits = F.count_if(F.col(label) == F.col("pred"))
     counts = materialize(scored.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("support"), F.count("pred").alias("told"), hits.alias("hits")), "tested")
     n, told, right, most = counts.agg(F.sum("support"), F.sum("told"), F.sum("hits"), F.max("support")).first()
-    return counts.select("label", "support", F.lit(int(n == told and (not skill or right >= 0.9 * most))).alias("sound"))
+    whole = fine and n == told and 2 * right > n + most
+    return counts.select("label", "support", (F.lit(whole) & (5 * F.col("hits") >= 4 * F.col("support"))).cast("int").alias("sound"))
 
 
-_TEST_Y = """WITH t AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, count(*) AS n FROM lineitem GROUP BY 1)
+_TEST_Y = f"""WITH {RULED}, t AS (SELECT y, count(*) AS n FROM ruled GROUP BY y)
 SELECT CAST(y AS VARCHAR) AS label, CAST(round(0.2 * n) AS BIGINT) AS support, 1 AS sound FROM t"""
-_TEST_CODE = f"""WITH {FLOWS}, y AS (SELECT *, CASE WHEN label = 'R' THEN 1 ELSE 0 END AS y, dense_rank() OVER (ORDER BY label) - 1 AS code FROM flows),
-r AS (SELECT code, row_number() OVER (PARTITION BY y ORDER BY {MD5_KEY}) AS rn, count(*) OVER (PARTITION BY y) AS n FROM y)
+_TEST_CODE = f"""WITH {RULED}, r AS (SELECT code, row_number() OVER (PARTITION BY y ORDER BY {MD5_KEY}) AS rn, count(*) OVER (PARTITION BY y) AS n FROM ruled)
 SELECT CAST(code AS VARCHAR) AS label, count(*) AS support, 1 AS sound FROM r WHERE rn <= round(0.2 * n) GROUP BY code"""
 
 
-def _between(*columns: str):
-    """1 if all of the columns lie between 0 and 1."""
-    return reduce(lambda x, y: x & y, [F.col(c).between(0, 1) for c in columns]).cast("int").alias("in_range")
+def _at_least(low: float, *columns: str):
+    """Whether all of the columns lie between ``low`` and 1."""
+    return reduce(lambda x, y: x & y, [F.col(c).between(low, 1) for c in columns])
 
 
 @query(_TEST_Y)
@@ -87,19 +87,24 @@ def train_rf_multiclass(v: Views):
     return _tested(ml.score(model, test), "code")
 
 
+def _boosted_classes(v: Views, learner: SoftmaxBoosting) -> DataFrame:
+    """Test rows of each class, sound only if the log loss also falls in each round and probabilities sum to 1."""
+    train, test = _with_codes(v)
+    model = ml.train(train, NUM, "code", learner, stored=not learner.isDefined("weightCol"))
+    losses = model.stages[-1].losses
+    scored = materialize(ml.score(model, test, probabilities="p"), "scored")
+    off = scored.agg(F.max(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1))).first()[0]
+    return _tested(scored, "code", off < 1e-9 and all(x > y for x, y in zip(losses, losses[1:])))
+
+
 @query(_TEST_CODE)
 def train_gbt_multiclass(v: Views):
-    train, test = _with_codes(v)
-    model = ml.train(train, NUM, "code", ml.multiclass(ml.boosted_trees(**_BOOST)))
-    return _tested(ml.score(model, test), "code")
+    return _boosted_classes(v, SoftmaxBoosting(**_SOFTMAX))
 
 
 @query(_TEST_CODE)
 def train_gbt_weighted(v: Views):
-    train, test = _with_codes(v)
-    learner = ml.boosted_trees(**_BOOST, rows=0.8, columns="0.8")
-    model = ml.train(train, NUM, "code", ml.multiclass(learner, weight="weight"))
-    return _tested(ml.score(model, test), "code")
+    return _boosted_classes(v, SoftmaxBoosting(**_SOFTMAX, rows=0.8, columns="0.8").setWeightCol("weight"))
 
 
 @query("SELECT CAST(label AS VARCHAR) AS label, CAST(round(0.2 * count(*)) AS BIGINT) AS support, 1 AS sound FROM embeddings GROUP BY label")
@@ -114,46 +119,47 @@ def train_gbt_oversampled(v: Views):
     columns = [F.get("v", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]
     pooled = schema.union_all(train.select("label", *columns), extra.select("label", *columns))
     model = ml.train(pooled, names, "label", ml.multiclass(ml.boosted_trees(trees=5, depth=3)))
-    return _tested(ml.score(model, test.select("label", *columns)), "label", skill=False)
+    return ml.score(model, test.select("label", *columns)).groupBy(F.col("label").cast("string").alias("label")).agg(F.count("*").alias("support"), (F.count("*") == F.count("pred")).cast("int").alias("sound"))
 
 
 @query(_TEST_Y)
 def train_gbt_binary(v: Views):
     p = _prepared(v)
-    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST))
+    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST), stored=True)
     return _tested(ml.score(model, p.test), "y")
 
 
 @query(_TEST_Y)
 def train_gbt_small(v: Views):
     p = _prepared(v)
-    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_SMALL))
+    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_SMALL), stored=True)
     return _tested(ml.score(model, p.test), "y")
 
 
 @query(_TEST_Y)
 def reduce_features(v: Views):
     p = _prepared(v)
-    first = ml.train(p.train, NUM, "y", ml.random_forest(**_FOREST))
+    first = ml.train(p.train, NUM, "y", ml.random_forest(**_FOREST), stored=True)
     top = ml.feature_importance(first, NUM, v.spark)
     kept = prep.reduce_features(p.train, top, 2, ["y"])
     names = [c for c in kept.columns if c != "y"]
-    model = ml.train(kept, names, "y", ml.random_forest(**_FOREST))
+    model = ml.train(kept, names, "y", ml.random_forest(**_FOREST), stored=True)
     return _tested(ml.score(model, p.test.select(*names, "y")), "y")
 
 
-@query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, 1 AS in_range")
+@query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([0, 0, 1, 1]) AS leads")
 def feature_importance(v: Views):
+    """Which features matter: the two that the rule is made of, each with a tenth or more."""
     p = _prepared(v)
-    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST))
-    return top_features(ml.feature_importance(model, NUM, v.spark), 20).select("feature", _between("importance"))
+    model = ml.train(p.train, NUM, "y", ml.random_forest(trees=20, depth=5), stored=True)
+    return top_features(ml.feature_importance(model, NUM, v.spark), 20).select("feature", (F.col("importance") >= 0.1).cast("int").alias("leads"))
 
 
 def _sources(v: Views) -> dict[str, prep.Prepared]:
     return {n: prep.preprocess(df, SHARED, "label", ["rid"], store=True) for n, df in v.aligned().items()}
 
 
-@query("SELECT model, dataset, 1 AS in_range FROM (SELECT unnest(['boosted', 'forest', 'boosted_small']) AS model), (SELECT unnest(['A', 'B', 'C']) AS dataset)")
+@query("SELECT model, dataset, 1 AS sound FROM (SELECT unnest(['boosted', 'forest', 'boosted_small']) AS model), (SELECT unnest(['A', 'B', 'C']) AS dataset)")
 def model_comparison(v: Views):
     parts = _sources(v)
     pooled = schema.union_sources({n: p.train for n, p in parts.items()})
@@ -164,48 +170,53 @@ def model_comparison(v: Views):
     }
     limit = {"forest": (["source", "rid"], 200_000)}
     found = ml.compare_models(learners, pooled, {n: p.test for n, p in parts.items()}, SHARED, "label", limit)
-    return found.select("model", "dataset", _between("accuracy", "f1", "auc"))
+    return found.select("model", "dataset", _at_least(0.9, "accuracy", "f1", "auc").cast("int").alias("sound"))
 
 
-@query(f"""WITH {SOURCES}, t AS (SELECT label, count(*) AS n FROM raw_a GROUP BY label)
-SELECT (SELECT CAST(sum(round(0.2 * n)) AS BIGINT) FROM t) AS home_rows, (SELECT count(*) FROM raw_b) AS away_rows, 1 AS in_range""")
+@query(f"""WITH {SOURCES}, t AS (SELECT label, count(*) AS n FROM raw_a GROUP BY label),
+away AS (SELECT label, CASE WHEN http_request_body_len >= 1 THEN 1 ELSE 0 END AS told FROM raw_b),
+b AS (SELECT count(*) AS n, avg(CASE WHEN label = told THEN 1.0 ELSE 0.0 END) AS accuracy, sum(label * told) AS tp, sum(label) AS p, sum(told) AS m FROM away)
+SELECT (SELECT CAST(sum(round(0.2 * n)) AS BIGINT) FROM t) AS home_rows, n AS away_rows, 1.0::DOUBLE AS home_accuracy, round(accuracy, 6) AS away_accuracy,
+  round(2.0 * tp / (p + m), 6) AS away_f1, round(100 * (1 - accuracy), 4) AS gap_points FROM b""")
 def cross_dataset(v: Views):
+    """A model of one source on another, whose values are a thousand times as large: what it learned as a bound of 0.05 cuts between 0 and 1 there."""
     raw = v.aligned()
     split = spread(materialize(sampling.mark_split(raw["A"], "label", ["rid"]), "split"))
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    model = ml.train(train, SHARED, "label", ml.boosted_trees(**_BOOST), prep.Scaler.fit(train, SHARED))
+    model = ml.train(train, SHARED, "label", ml.boosted_trees(**_BOOST), prep.Scaler.fit(train, SHARED), stored=True)
     sizes = [F.lit(df.count()).cast("bigint").alias(f"{n}_rows") for n, df in (("home", test), ("away", raw["B"]))]
-    return ml.cross_dataset(model, test, raw["B"], "label").select(*sizes, _between("home_accuracy", "away_accuracy", "away_f1"))
+    found = rounded(ml.cross_dataset(model, test, raw["B"], "label"), 6)
+    return found.select(*sizes, "home_accuracy", "away_accuracy", "away_f1", F.round("gap_points", 4).alias("gap_points"))
 
 
-@query("""WITH y AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, count(*) AS n FROM lineitem GROUP BY 1),
+@query(f"""WITH {RULED}, y AS (SELECT y, count(*) AS n FROM ruled GROUP BY y),
 t AS (SELECT y, n - round(0.2 * n) AS n, (SELECT sum(n - round(0.2 * n)) FROM y) AS total FROM y),
 f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction)
-SELECT fraction, CAST(sum(least(n, greatest(1, floor(greatest(floor(total * fraction), 100) * n / total)))) AS BIGINT) AS rows, 1 AS in_range FROM f, t GROUP BY fraction""")
+SELECT fraction, CAST(sum(least(n, greatest(1, floor(greatest(floor(total * fraction), 100) * n / total)))) AS BIGINT) AS rows, 1 AS sound FROM f, t GROUP BY fraction""")
 def learning_curve(v: Views):
     p = _prepared(v)
     found = ml.learning_curve(p.train, p.test, NUM, "y", KEY, [0.1, 0.25, 0.5, 0.75, 1.0], lambda: ml.boosted_trees(trees=5, depth=4))
-    return found.select("fraction", "rows", _between("train_acc", "test_acc", "train_f1", "test_f1"))
+    return found.select("fraction", "rows", _at_least(0.85, "train_acc", "test_acc", "train_f1", "test_f1").cast("int").alias("sound"))
 
 
-@query("SELECT count(*) AS total, count(*) AS told FROM lineitem")
+@query(f"WITH {RULED} SELECT count(*) AS total, count(*) FILTER (WHERE rule = 0) AS benign, count(*) FILTER (WHERE rule = 1) AS attack FROM ruled")
 def batch_score(v: Views):
-    flows = v.binary_flows()
+    flows = v.ruled_flows()
     train, _ = sampling.hash_split(flows, KEY)
-    model = ml.train(train, NUM, "y", ml.boosted_trees(**_SMALL), prep.Scaler.fit(train, NUM))
+    model = ml.train(train, NUM, "rule", ml.boosted_trees(**_SMALL), prep.Scaler.fit(train, NUM))
     path = scratch_path(v.spark, "score")
     write_csv(flows.select(*KEY, *NUM), path)
     ddl = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
     _, summary = ml.score_table(model, read_csv(v.spark, path, ddl), NUM)
-    return summary.select("total", (F.col("benign") + F.col("attack")).alias("told"))
+    return summary.select("total", "benign", "attack")
 
 
-@query(f"SELECT {', '.join(KEY)}, 1 AS in_range FROM lineitem")
+@query(f"WITH {RULED} SELECT {', '.join(KEY)}, CASE WHEN rule = 1 THEN 'ATTACK' ELSE 'BENIGN' END AS verdict, 1 AS sure FROM ruled")
 def score_confidence(v: Views):
-    flows = v.binary_flows()
-    model = ml.train(flows, NUM, "y", ml.random_forest(trees=10, depth=5), prep.Scaler.fit(flows, NUM))
+    flows = v.ruled_flows()
+    model = ml.train(flows, NUM, "rule", ml.boosted_trees(**_SMALL), prep.Scaler.fit(flows, NUM))
     scored = ml.score(model, flows, confidence=True)
-    return scored.select(*KEY, (F.col("confidence").between(0.5, 1) & ml.verdict().isin("ATTACK", "BENIGN")).cast("int").alias("in_range"))
+    return scored.select(*KEY, ml.verdict().alias("verdict"), F.col("confidence").between(0.8, 1).cast("int").alias("sure"))
 
 
 def _flow_model(flows: DataFrame):
@@ -242,20 +253,22 @@ def stream_score_summary(v: Views):
     return score_summary(v.spark.read.parquet(f"{base}/out")).select("total", "benign", "attack")
 
 
-@query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, 1 AS sound")
+@query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([0, 0, 1, 1]) AS leads")
 def attribution_rank(v: Views):
     p = _prepared(v)
-    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST))
+    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST), stored=True)
     values = ml.attribution(lambda df: ml.score(model, df), p.test.select(*NUM, *KEY), NUM, KEY)
-    return ml.attribution_ranking(values, 5).select("feature", (F.col("importance") >= 0).cast("int").alias("sound"))
+    ranked = materialize(ml.attribution_ranking(values, 5), "ranking")
+    most = ranked.agg(F.max("importance")).first()[0]
+    return ranked.select("feature", (F.col("importance") >= 0.25 * most).cast("int").alias("leads"))
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 2 AS q, l_discount * 100 AS d FROM lineitem),
-a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}) - 1 AS pos, count(*) OVER () AS n FROM s),
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_quantity * 2 AS q, l_discount * 100 AS d FROM lineitem),
+a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 AS pos, count(*) OVER () AS n FROM s),
 x AS (SELECT a.*, draw, (pos + 1 + CAST('0x' || substr(md5(draw || ':42'), 1, 8) AS BIGINT) % (n - 1)) % n AS other FROM a, (SELECT unnest(range(1, 9)) AS draw)),
 v AS (SELECT x.*, x.q - b.q AS dq, x.d - b.d AS dd FROM x JOIN a b ON b.pos = x.other)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_quantity' AS feature, round(avg(dq), 4) + 0.0 AS attribution FROM v GROUP BY ALL
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_discount', round(avg(dd), 4) + 0.0 FROM v GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_quantity' AS feature, round(avg(dq), 4) + 0.0 AS attribution, round(stddev_samp(dq) / sqrt(count(*)), 4) + 0.0 AS error FROM v GROUP BY ALL
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_discount', round(avg(dd), 4) + 0.0, round(stddev_samp(dd) / sqrt(count(*)), 4) + 0.0 FROM v GROUP BY ALL""")
 def attribution_values(v: Views):
     """Attributions of a linear score, which do not depend on the order of the features."""
     linear = lambda df: df.withColumn("score", F.col("l_quantity") * 2 + F.col("l_discount") * 100)
@@ -263,11 +276,11 @@ def attribution_values(v: Views):
     return rounded(values, 4)
 
 
-@query(f"""WITH t AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, count(*) AS n FROM lineitem GROUP BY 1)
+@query(f"""WITH {RULED}, t AS (SELECT y, count(*) AS n FROM ruled GROUP BY y)
 SELECT CAST(sum(round(0.2 * n)) AS BIGINT) AS rows, 0 AS differing_rows FROM t""")
 def model_roundtrip(v: Views):
     p = _prepared(v)
-    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST))
+    model = ml.train(p.train, NUM, "y", ml.boosted_trees(**_BOOST), stored=True)
     path = scratch_path(v.spark, "model")
     ml.save_model(model, path)
     a = ml.score(model, p.test).select(*KEY, "y", "pred", "score")
@@ -285,7 +298,10 @@ def scaler_roundtrip(v: Views):
 
 
 @query('''SELECT unnest(['baseline A', 'baseline B (unseen)', 'baseline C (unseen)', 'unified A', 'unified B', 'unified C']) AS experiment,
-  unnest(['A', 'A', 'A', 'A,B,C', 'A,B,C', 'A,B,C']) AS sources, 4 AS features, 1 AS in_range''')
+  unnest(['A', 'A', 'A', 'A,B,C', 'A,B,C', 'A,B,C']) AS sources, 4 AS features, 1 AS sound''')
 def unified_experiment(v: Views):
     run = experiment(v.aligned(), SHARED, "label", ["rid"], lambda: ml.boosted_trees(trees=5, depth=4), "A")
-    return run.summary.select("experiment", "sources", "features", _between("accuracy", "f1", "auc"))
+    # on sources it has not seen, scaled as at home, the baseline is not right as often
+    seen = ~F.col("experiment").contains("unseen")
+    sound = F.when(seen, _at_least(0.9, "accuracy", "f1", "auc")).otherwise(F.col("accuracy").between(0, 0.9))
+    return run.summary.select("experiment", "sources", "features", sound.cast("int").alias("sound"))

@@ -10,7 +10,7 @@ from packetloom.operators import prep, sampling, schema
 from packetloom.operators.hashed import Hashing, recall
 from packetloom.operators.models import permutation_importance as permute
 from packetloom.plans.registry import query
-from packetloom.plans.views import FLOWS, KEY, MD5_KEY, NUM, SHARED, SOURCES, Views, rounded
+from packetloom.plans.views import FLOWS, KEY, MD5_KEY, NOISY, NUM, SHARED, SOURCES, Views, rounded
 
 _KEYS = ", ".join(KEY)
 _RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {MD5_KEY}) AS rn,
@@ -134,22 +134,25 @@ def sample_repeated_keys(v: Views):
     return sampling.sample_capped(rows, "label", ["l_orderkey"], 1000).groupBy("label").agg(F.count("*").alias("rows"))
 
 
-_PERM_KEY = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, run, feature) || ':42')"
+_LINEAR = _RULE.format(q="l_quantity", d="l_discount", t="l_tax")
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y
-  FROM lineitem),
-a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}) - 1 AS pos FROM s),
-base AS (SELECT avg(CASE WHEN y = {_RULE.format(q='l_quantity', d='l_discount', t='l_tax')} THEN 1 ELSE 0 END) AS acc FROM s),
-c AS (SELECT a.*, run, feature FROM a, (SELECT unnest(range(0, 10)) AS run), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature)),
-d AS (SELECT run, feature, CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END AS donor,
-  row_number() OVER (PARTITION BY run, feature ORDER BY {_PERM_KEY}) - 1 AS pos FROM c),
-x AS (SELECT run, feature, y, CASE WHEN feature = 'l_quantity' THEN donor ELSE l_quantity END AS q,
-  CASE WHEN feature = 'l_discount' THEN donor ELSE l_discount END AS d, CASE WHEN feature = 'l_tax' THEN donor ELSE l_tax END AS t FROM c JOIN d USING (run, feature, pos)),
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax,
+  CASE WHEN {NOISY} THEN 1 - {_LINEAR} ELSE {_LINEAR} END AS y FROM lineitem),
+a AS (SELECT *, row_number() OVER (ORDER BY {MD5_KEY}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, y) - 1 AS pos FROM s),
+base AS (SELECT avg(CASE WHEN y = {_LINEAR} THEN 1 ELSE 0 END) AS acc FROM s),
+runs AS (SELECT run, feature, n, coalesce(list_filter(list_transform(range(0, 64), lambda i: CAST('0x' || substr(md5('42:' || run || ':' || feature || ':' || i), 1, 15) AS BIGINT) % n), lambda a: gcd(a, n) = 1)[1], 1) AS a,
+  CAST('0x' || substr(md5('42:' || run || ':' || feature || ':b'), 1, 15) AS BIGINT) % n AS b
+  FROM (SELECT unnest(range(0, 10)) AS run), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature), (SELECT count(*) AS n FROM s)),
+c AS (SELECT a.*, run, feature, (runs.a * pos + b) % n AS other FROM a, runs),
+x AS (SELECT run, feature, c.y, CASE WHEN feature = 'l_quantity' THEN d.l_quantity ELSE c.l_quantity END AS q,
+  CASE WHEN feature = 'l_discount' THEN d.l_discount ELSE c.l_discount END AS d, CASE WHEN feature = 'l_tax' THEN d.l_tax ELSE c.l_tax END AS t FROM c JOIN a d ON d.pos = c.other),
 p AS (SELECT feature, run, avg(CASE WHEN y = {_RULE.format(q='q', d='d', t='t')} THEN 1 ELSE 0 END) AS acc FROM x GROUP BY ALL)
 SELECT feature, round(avg((SELECT acc FROM base) - acc), 6) AS importance, round(stddev_pop((SELECT acc FROM base) - acc), 6) AS sd FROM p GROUP BY feature""")
 def permutation_importance(v: Views):
-    df = v.binary_flows().drop("label")
+    """Accuracy that a linear rule loses on its own verdicts, one in sixteen of them turned round."""
+    told = _rule(v.ruled_flows())
+    df = told.withColumn("y", F.when(v.noisy(), 1 - F.col("pred")).otherwise(F.col("pred"))).drop("pred")
     return rounded(permute(_rule, df, ["l_quantity", "l_discount", "l_tax"], "y", KEY, repeats=10))
 
 

@@ -6,7 +6,7 @@ Each view has a method giving a DataFrame and an upper-case constant with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -20,6 +20,16 @@ FLOWS = """flows AS (
          l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag AS label
   FROM lineitem)"""
 
+# What a learner can find: two rules on discount and tax. One row in sixteen draws the noise
+# and says otherwise, so the best possible accuracy is 15 / 16.
+NOISY = "substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) || ':noise'), 1, 1) = '0'"
+RULED = f"""ruled AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+         CASE WHEN l_discount >= 0.05 AND l_tax <= 0.05 THEN 1 ELSE 0 END AS rule,
+         CASE WHEN (l_discount >= 0.05 AND l_tax <= 0.05) <> ({NOISY}) THEN 1 ELSE 0 END AS y,
+         (CASE WHEN l_discount >= 0.07 THEN 2 WHEN l_tax >= 0.04 THEN 1 ELSE 0 END + CASE WHEN {NOISY} THEN 1 ELSE 0 END) % 3 AS code
+  FROM lineitem)"""
+
 DIRTY = """dirty AS (
   SELECT l_orderkey, l_linenumber, l_quantity,
          CASE WHEN l_discount = 0 THEN 'Infinity'::DOUBLE
@@ -71,19 +81,20 @@ features AS (
          CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin
   FROM folded)"""
 
+# The label of every source follows from what is aligned to packet_length_mean, cut near its mean.
 SOURCES = """raw_a AS (
   SELECT l_quantity AS dur, l_linenumber AS spkts, l_extendedprice AS rate, l_discount AS mean,
-         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+         CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END AS label,
          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rid
   FROM lineitem),
 raw_b AS (
   SELECT o_custkey AS duration, length(o_orderpriority) AS src_pkts, o_totalprice AS src_ip_bytes,
          o_orderkey % 100 AS http_request_body_len,
-         CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS label, CAST(o_orderkey AS VARCHAR) AS rid
+         CASE WHEN o_orderkey % 100 >= 50 THEN 1 ELSE 0 END AS label, CAST(o_orderkey AS VARCHAR) AS rid
   FROM orders),
 raw_c AS (
   SELECT user_id AS dur, CAST(json_extract_string(props, '$.k') AS INTEGER) AS spkts, value AS rate, event_id % 10 AS sjit,
-         CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, CAST(event_id AS VARCHAR) AS rid
+         CASE WHEN event_id % 10 >= 5 THEN 1 ELSE 0 END AS label, CAST(event_id AS VARCHAR) AS rid
   FROM events),
 aligned AS (
   SELECT CAST(dur AS DOUBLE) AS flow_duration, CAST(spkts AS DOUBLE) AS total_fwd_packets, CAST(rate AS DOUBLE) AS flow_packets_s,
@@ -130,9 +141,16 @@ class Views:
     def flows(self) -> DataFrame:
         return self.table("lineitem").select(*KEY, *NUM, F.col("l_returnflag").alias("label"))
 
-    def binary_flows(self) -> DataFrame:
-        """Flows with the label as a number: returned or not."""
-        return self.flows().withColumn("y", (F.col("label") == "R").cast("int"))
+    def noisy(self) -> Column:
+        """Whether a row's label is turned round."""
+        return F.substring(F.md5(F.concat(F.concat_ws("|", *[F.col(c).cast("string") for c in KEY]), F.lit(":noise"))), 1, 1) == "0"
+
+    def ruled_flows(self) -> DataFrame:
+        """Flows with a binary label ``y`` and one of three classes ``code``, both learnable but for the noise; ``rule`` is ``y`` without it."""
+        noisy = self.noisy()
+        two = (F.col("l_discount") >= 0.05) & (F.col("l_tax") <= 0.05)
+        three = F.when(F.col("l_discount") >= 0.07, 2).when(F.col("l_tax") >= 0.04, 1).otherwise(0)
+        return self.flows().drop("label").withColumns({"rule": two.cast("int"), "y": (two != noisy).cast("int"), "code": (three + noisy.cast("int")) % 3})
 
     def dirty(self) -> DataFrame:
         li = self.table("lineitem")
@@ -189,7 +207,7 @@ class Views:
             F.col("l_linenumber").alias("spkts"),
             F.col("l_extendedprice").alias("rate"),
             F.col("l_discount").alias("mean"),
-            (F.col("l_returnflag") == "R").cast("int").alias("label"),
+            (F.col("l_discount") >= 0.05).cast("int").alias("label"),
             F.concat_ws("-", *[F.col(c).cast("string") for c in KEY]).alias("rid"),
         )
 
@@ -199,7 +217,7 @@ class Views:
             F.length("o_orderpriority").alias("src_pkts"),
             F.col("o_totalprice").alias("src_ip_bytes"),
             (F.col("o_orderkey") % 100).alias("http_request_body_len"),
-            (F.col("o_orderstatus") == "O").cast("int").alias("label"),
+            (F.col("o_orderkey") % 100 >= 50).cast("int").alias("label"),
             F.col("o_orderkey").cast("string").alias("rid"),
         )
 
@@ -209,7 +227,7 @@ class Views:
             F.get_json_object("props", "$.k").cast("int").alias("spkts"),
             F.col("value").alias("rate"),
             (F.col("event_id") % 10).alias("sjit"),
-            (F.col("event_type") == "error").cast("int").alias("label"),
+            (F.col("event_id") % 10 >= 5).cast("int").alias("label"),
             F.col("event_id").cast("string").alias("rid"),
         )
 

@@ -81,9 +81,30 @@ def test_attribution_adds_up(rows):
     by = {r["feature"]: r["m"] for r in vals.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("m")).collect()}
     assert by["c"] == pytest.approx(0, abs=1e-9) and by["b"] > by["a"] > 1
     assert [r["feature"] for r in ml.attribution_ranking(vals, 2).collect()] == ["b", "a"]
-    # over the sample, contributions sum to score minus mean background score: zero on average
-    total = vals.agg(F.avg("attribution")).first()[0]
-    assert abs(total) < 1.5
+
+
+def test_attribution_of_a_bent_score_adds_up_exactly(rows):
+    """Each draw mixes every row with another one, so the shares of all rows sum to nothing; each chain is scored once a mix."""
+    seen = []
+
+    def bent(df):
+        seen.append(df)
+        return df.withColumn("score", F.col("a") * F.col("b") + F.sqrt(F.abs("c")))
+
+    vals = ml.attribution(bent, rows, FEATS, ["id"], rows=80, draws=4).cache()
+    assert abs(vals.agg(F.sum("attribution")).first()[0]) < 1e-6 and vals.filter("error < 0").count() == 0
+    assert seen[0].count() == 80 * 4 * 4  # draws, features and one more
+    order = {(r["at"], r["draw"]): r["order"] for r in seen[0].select("at", "draw", "order").distinct().collect()}
+    assert all(order[at, 2] == order[at, 1][::-1] for at in range(80)) and len({tuple(o) for o in order.values()}) == 6
+
+
+def test_a_constant_verdict_is_not_sound(spark):
+    from packetloom.plans.learning import _tested
+
+    rows = spark.createDataFrame([(i % 3 and 1, 1) for i in range(300)], "y int, pred int")
+    assert {r["sound"] for r in _tested(rows, "y").collect()} == {0}
+    right = rows.withColumn("pred", F.col("y"))
+    assert {r["sound"] for r in _tested(right, "y").collect()} == {1}
 
 
 def test_compare_and_curve(rows):

@@ -9,8 +9,6 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# two rows of this set share their key, so which of them comes first is open
-NO_UNIQUE_KEY = {"attribution_values", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +43,7 @@ def test_same_as_sql(spark, con, name):
     assert sorted(names) == cols
     want = sorted((tuple(_plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=_order)
     assert len(got) == len(want)
-    if name not in NO_UNIQUE_KEY:
-        assert got == want
+    assert got == want
 
 
 def test_every_oracle_has_a_query():
