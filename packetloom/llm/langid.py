@@ -131,7 +131,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def predict(model: Model, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
     """Language and probability of each text; ``und`` and 0 for a text without a letter."""
     names, scores = [], []
-    for batch in bounded_batches(texts, 1_500_000):
+    for batch in bounded_batches(texts, 500_000):
         local = emissions(model, batch.vocab)[batch.words]
         probs = marginals(local, batch.lengths, model.moves)
         doc = _softmax(np.einsum("q,nql->nl", model.head, _quarters(batch, probs)))
