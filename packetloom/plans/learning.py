@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 from packetloom.functions.scratch import materialize, scratch_path, spread
 from packetloom.operators import models as ml
 from packetloom.operators import prep, sampling, schema
-from packetloom.operators.evaluate import score_summary
 from packetloom.operators.flows import flow_features, to_unified
 from packetloom.operators.neighbours import oversample
 from packetloom.operators.schema import FEATURES
 from packetloom.operators.summaries import top_features
 from packetloom.plans.experiment import unified_experiment as experiment
 from packetloom.plans.registry import query
-from packetloom.plans.traffic import _ARRIVALS, _IDLE, _SESSIONS, arriving, captured
+from packetloom.plans.traffic import _ARRIVALS, _IDLE, _SESSIONS, _SLICES, arriving, captured
 from packetloom.operators.softmax import SoftmaxBoosting
 from packetloom.plans.views import FEATURES_SQL, FLOWS, KEY, MD5_KEY, NUM, PACKETS, RULED, SHARED, SOURCES, Views, rounded
 from packetloom.sources.captures import parse_packets, read_captures
 from packetloom.sources.tables import read_csv, write_csv
-from packetloom.streaming.flows import score_sessions, session_features, start
+from packetloom.streaming.flows import running_counts, session_features, start_scoring
 
 # Learner sizes of the registered queries. The forest has the size of the published
 # comparison; boosting has fewer rounds than the operators' default of 100 (README).
@@ -245,12 +244,13 @@ def score_flows(v: Views):
 
 @query(f"WITH {_ARRIVALS}, {_SESSIONS} SELECT count(*) AS total, count(*) FILTER (WHERE n < 4) AS benign, count(*) FILTER (WHERE n >= 4) AS attack FROM closed")
 def stream_score_summary(v: Views):
-    """Verdicts of closed flows out of several triggers, then their counts."""
+    """Verdicts of closed flows over several triggers, the query stopped half way and started again; the running counts."""
     base = scratch_path(v.spark, "stream-score")
     model = _flow_model(materialize(flow_features(v.packets()), "flows"))
-    flows = session_features(arriving(v, base), f"{_IDLE} seconds", "1 day")
-    start(score_sessions(model, flows), f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
-    return score_summary(v.spark.read.parquet(f"{base}/out")).select("total", "benign", "attack")
+    for slices in (range(_SLICES // 2), range(_SLICES // 2, _SLICES)):
+        flows = session_features(arriving(v, base, slices), f"{_IDLE} seconds", "1 day")
+        start_scoring(model, flows, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return running_counts(v.spark, f"{base}/out").select("total", "benign", "attack")
 
 
 @query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([0, 0, 1, 1]) AS leads")

@@ -116,15 +116,15 @@ arrived AS (SELECT * FROM cut WHERE NOT (pkt_seq % 50 = 13 AND ts < t0 + {_SLICE
 _SESSIONS = f"""g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY flow_key ORDER BY ts) AS gap0 FROM arrived),
 s AS (SELECT *, sum(CASE WHEN gap0 > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY ts) AS flow_no FROM g0),
 f AS (SELECT flow_key, flow_no, proto, greatest(max(ts) - min(ts), 1e-9) AS d, max(ts) AS last_ts, count(*) AS n, sum(length)::BIGINT AS tb, avg(length) AS ml,
-  stddev_pop(length) AS sl, bit_or(flags) AS fl FROM s GROUP BY ALL HAVING count(*) >= 2),
+  stddev_pop(length) AS sl, bit_or(flags) AS fl, stddev_pop(CASE WHEN gap0 <= {_IDLE} THEN gap0 END) AS si FROM s GROUP BY ALL HAVING count(*) >= 2),
 closed AS (SELECT * FROM f WHERE last_ts + {_IDLE} <= (SELECT max(ts) - {_DAY} FROM arrived))"""
 _SESSION_COLS = """flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb AS total_bytes, round(ml, 2) AS mean_pkt_len, round(sl, 2) AS std_pkt_len,
-  round(d / (n - 1), 6) AS mean_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
+  round(d / (n - 1), 6) AS mean_iat, round(si, 6) AS std_iat, round(tb / d, 2) AS bytes_per_sec, round(n / d, 2) AS pkts_per_sec,
   CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin"""
 
 
-def arriving(v: Views, base: str):
-    """The packets as a stream of one file per trigger, some late, some too late."""
+def arriving(v: Views, base: str, slices=range(_SLICES)):
+    """The packets as a stream of one file per trigger, some late, some too late; ``slices`` are written now."""
     packets = v.packets()
     t0, t1 = packets.agg(F.min("ts"), F.max("ts")).first()
     width = (t1 - t0) / _SLICES
@@ -134,7 +134,7 @@ def arriving(v: Views, base: str):
     lost = (draw == 13) & (F.col("ts") < t0 + (_SLICES - 1) * width - 8 * _DAY)
     number = F.when(lost, _SLICES - 1).when(late, F.least(own + 1, F.lit(_SLICES - 1))).otherwise(own)
     numbered = packets.withColumn("slice", number.cast("int"))
-    for i in range(_SLICES):
+    for i in slices:
         numbered.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(f"{base}/in")
     return v.spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
