@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (local tests) falls back to
-    a folder of this machine.
+    Only where all tasks run in the driver's process (``local[...]``, as in tests) may
+    ``spark.checkpoint.dir`` be unset: then one folder of this machine serves the application.
     """
-    root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
+    context = spark.sparkContext
+    root = spark.conf.get(_CONF, None) or context.getConf().get(_CONF, None) or _LOCAL.get(context.applicationId)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError(f"set {_CONF} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="spark-packetloom-")
-        spark.conf.set(_CONF, root)
+        root = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-packetloom-")
     return f"{root.rstrip('/')}/packetloom/{name}-{uuid.uuid4().hex}"
 
 

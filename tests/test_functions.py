@@ -126,3 +126,19 @@ def test_attach_past_its_bound(spark, bound):
     dim = spark.createDataFrame([("a", 10), (None, 20), ("b", 30)], "k string, d int")
     got = attach(df, dim, ["k"], "left", max_rows=bound).select("v", "d").collect()
     assert sorted((tuple(r) for r in got)) == [(1, 10), (2, 20), (3, None)]
+
+
+def test_scratch_without_a_checkpoint_folder():
+    """A stand-in for a session: local ones get one folder an application, others an error."""
+    from types import SimpleNamespace as S
+
+    from packetloom.functions.scratch import scratch_path
+
+    def session(master):
+        return S(conf=S(get=lambda k, d: d), sparkContext=S(master=master, applicationId=f"app-{master}", getConf=lambda: S(get=lambda k: None)))
+
+    a, b = (scratch_path(session("local[8]"), "x") for _ in range(2))
+    assert a != b and a.rsplit("/", 2)[0] == b.rsplit("/", 2)[0]
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_path(session(master), "x")
