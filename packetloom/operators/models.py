@@ -15,13 +15,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions.dims import attach
 from packetloom.functions.ordering import digest, digest_int, numbered
 from packetloom.functions.scratch import materialize, spread
 from packetloom.operators.clean import keep_finite
 from packetloom.operators.evaluate import accuracy, binary_rates, metric_row, score_summary
 from packetloom.operators.flows import flow_features, to_unified
 from packetloom.operators.prep import Scaler
-from packetloom.operators.sampling import sample_fraction, sample_n
+from packetloom.operators.sampling import sample_n
 from packetloom.operators.schema import FEATURES, require, trim_names
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -201,16 +202,43 @@ def cross_dataset(model: PipelineModel, home: DataFrame, away: DataFrame, label:
 
 
 def learning_curve(
-    train_rows: DataFrame, test_rows: DataFrame, features: list[str], label: str, key: list[str], fractions: list[float], estimator: Callable[[], object]
+    train_rows: DataFrame, test_rows: DataFrame, features: list[str], label: str, key: list[str], fractions: list[float], estimator: Callable[[], object], min_rows: int = 100, seed: int = 42
 ) -> DataFrame:
-    """(fraction, rows, train_acc, test_acc, train_f1, test_f1) per share of the train rows."""
+    """(fraction, rows, train_acc, test_acc, train_f1, test_f1) per share of the train rows.
+
+    Rows are ranked once in each class by the digest of their key, and a share is what
+    ranks below its quota (at least ``min_rows`` in all and one row a class), so each
+    smaller sample lies inside the larger. All models' verdicts on all rows come from
+    one scan.
+    """
+    rows = materialize(train_rows.select(*features, label, *key), "curve")
+    ranked = materialize(numbered(rows, digest(key, seed), [*key, *features], "rank", [label]), "ranked")
+    sizes = ranked.groupBy(label).agg(F.count("*").alias("n"))
+    total = ranked.count()
+    quotas = {f"q{i}": F.least(F.col("n"), F.greatest(F.lit(1), F.floor(F.lit(max(math.floor(total * f), min_rows)) * F.col("n") / total))) for i, f in enumerate(fractions)}
+    ranked = attach(ranked, sizes.select(label, *[q.alias(c) for c, q in quotas.items()]), [label])
+    models = [train(ranked.filter(F.col("rank") < F.col(c)), features, label, estimator()) for c in quotas]
+
+    inside = [F.array(*[F.col("rank") < F.col(c) for c in quotas]), F.array(*[F.lit(True)] * len(fractions))]
+    scored = ranked.select(*features, label, F.lit("train").alias("part"), inside[0].alias("inside"))
+    scored = scored.unionByName(test_rows.select(*features, label, F.lit("test").alias("part"), inside[1].alias("inside")))
+    for i, model in enumerate(models):
+        scored = predict(model, scored).withColumnRenamed("pred", f"p{i}")
+    cells = [
+        F.count_if(F.col("inside")[i] & (F.col(label) == y) & (F.col(f"p{i}") == p)).alias(f"{name}{i}")
+        for i in range(len(fractions)) for name, y, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+    ]
+    found = {r["part"]: r for r in scored.groupBy("part").agg(*cells).collect()}
+
+    def told(part: str, i: int) -> tuple[int, float | None, float]:
+        tn, fp, fn, tp = (found[part][f"{c}{i}"] if part in found else 0 for c in ("tn", "fp", "fn", "tp"))
+        n = tn + fp + fn + tp
+        return n, (tn + tp) / n if n else None, 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
     out = []
-    for f in fractions:
-        part = sample_fraction(train_rows, label, key, f)
-        model = train(part, features, label, estimator())
-        tr, te = (binary_rates(score(model, d), label).first() for d in (part, test_rows))
-        rows = tr["tn"] + tr["fp"] + tr["fn"] + tr["tp"]
-        out.append((f, rows, tr["accuracy"], te["accuracy"], tr["f1"], te["f1"]))
+    for i, f in enumerate(fractions):
+        (n, train_acc, train_f1), (_, test_acc, test_f1) = told("train", i), told("test", i)
+        out.append((f, n, train_acc, test_acc, train_f1, test_f1))
     ddl = "fraction double, rows bigint, train_acc double, test_acc double, train_f1 double, test_f1 double"
     return train_rows.sparkSession.createDataFrame(out, ddl)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.scratch import scratch_path
@@ -84,9 +87,16 @@ def scan_status(v: Views):
     return status.filter("status <> 'empty'").groupBy("status").agg(F.sum("rows").alias("rows"), F.sum("bad_rows").alias("bad_rows"), F.sum("empty_cells").alias("empty_cells"))
 
 
-@query()
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, 0 AS unlisted FROM {t}" for t in _TABLES))
 def file_inventory(v: Views):
-    return src.file_inventory(v.spark, v.dir, "*.parquet").drop("folder")
+    """Rows of every table by the listing of its files; a file that holds rows and is not listed would show."""
+    listed = src.file_inventory(v.spark, v.dir, "*.parquet").select("file", F.lit(1).alias("seen")).distinct()
+    where = F.col("_metadata.file_path")
+    rows = reduce(DataFrame.unionByName, [v.table(t).select(F.lit(t).alias("name"), F.element_at(F.split(where, "/"), -1).alias("file")).groupBy("name", "file").agg(F.count("*").alias("n")) for t in _TABLES])
+    return rows.join(listed, "file", "left").groupBy("name").agg(F.sum("n").alias("rows"), F.count_if(F.col("seen").isNull()).cast("int").alias("unlisted"))
 
 
 @query(f"""WITH {DIRTY} SELECT count(*) AS total, count(*) FILTER (WHERE label = 'N') AS normal,

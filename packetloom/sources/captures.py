@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from packetloom.functions.files import open_file
 from packetloom.functions.scratch import materialize
 
 PACKET_SCHEMA = "file string, pkt_seq bigint, ts double, orig_len bigint, raw binary"
@@ -87,21 +88,11 @@ _RANGE = "file string, length bigint, no bigint, begin bigint, end bigint"
 _WALKED = f"{_RANGE}, first bigint, next bigint, packets bigint"
 
 
-def _open(path: str):
-    """A file of any store that Arrow knows, read by position."""
-    if path.startswith("file:"):
-        path = re.sub("^file:/+", "/", path)
-    if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inner)
-
-
 class _Bytes:
     """A file's bytes by position; holds one stretch of about a megabyte."""
 
     def __init__(self, path: str, length: int):
-        self.file, self.length = _open(path), length
+        self.file, self.length = open_file(path), length
         self.at, self.held = 0, b""
 
     def get(self, at: int, size: int) -> memoryview:

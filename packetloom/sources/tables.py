@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.functions.files import open_file
 from packetloom.functions.ordering import digest_normal, digest_unit
 from packetloom.operators.schema import trim_names
 
@@ -95,7 +96,7 @@ def read_csv_tolerant(spark: SparkSession, paths: str | list[str], schema: T.Str
         F.count_if(fits).alias("rows"), F.count_if(~fits).alias("bad_rows"), F.sum(F.when(fits, empty)).alias("empty_cells")
     )
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    packed = files.filter(F.lower("path").rlike(r"\.(gz|bz2)$")).select("path", "content").mapInArrow(_packing_state, "path string, state string")
+    packed = files.filter(F.lower("path").rlike(r"\.(gz|bz2)$")).select("path").mapInArrow(_packing_state, "path string, state string")
     # the names the planner holds anyway, files without a byte among them
     listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(_plain_path(F.col("path")).alias("path"))
     states = packed.select(_plain_path(F.col("path")).alias("path"), "state")
@@ -113,25 +114,37 @@ def _plain_path(path: Column) -> Column:
 def _packing_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Does a compressed file open to its end? Such a file is one unit of work for any reader."""
     for batch in batches:
-        out = []
-        for path, content in zip(batch.column("path"), batch.column("content")):
-            data, make = memoryview(content.as_buffer()), (lambda: zlib.decompressobj(31)) if path.as_py().lower().endswith(".gz") else bz2.BZ2Decompressor
-            state, at, opened = "ok", 0, make()
-            try:
-                while at < len(data):
-                    opened.decompress(data[at : at + (1 << 16)])
-                    at += 1 << 16
-                    if opened.eof and at >= len(data):
-                        break
-                    if opened.eof:  # another member follows
-                        at -= len(opened.unused_data)
-                        opened = make()
-                if len(data) and not opened.eof:
-                    state = "cut off"
-            except (zlib.error, OSError, EOFError):
-                state = "unreadable"
-            out.append(state)
-        yield pa.record_batch([batch.column("path"), pa.array(out, pa.string())], names=["path", "state"])
+        yield pa.record_batch([batch.column("path"), pa.array([unpacks(p) for p in batch.column("path").to_pylist()], pa.string())], names=["path", "state"])
+
+
+def unpacks(path: str, step: int = 1 << 20) -> str:
+    """``ok``, ``cut off`` or ``unreadable``. Reads and unpacks about ``step`` bytes at a time, whatever the size."""
+    packed_by_zlib = path.lower().endswith(".gz")
+    make = (lambda: zlib.decompressobj(31)) if packed_by_zlib else bz2.BZ2Decompressor
+    try:
+        with open_file(path) as file:
+            opened, began, left = make(), False, b""
+            while True:
+                data = left or file.read(step)
+                if not data:
+                    # nothing of a member that has begun may be missing
+                    return "ok" if opened.eof or not began else "cut off"
+                if opened.eof:  # another member follows
+                    opened = make()
+                began = True
+                opened.decompress(data, step)
+                if opened.eof:
+                    left = opened.unused_data
+                elif packed_by_zlib:
+                    left = opened.unconsumed_tail
+                else:
+                    left = b""
+                    while not opened.needs_input and not opened.eof:
+                        opened.decompress(b"", step)
+                    if opened.eof:
+                        left = opened.unused_data
+    except (zlib.error, OSError, EOFError):
+        return "unreadable"
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:

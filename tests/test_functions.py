@@ -135,7 +135,7 @@ def test_scratch_without_a_checkpoint_folder():
     from packetloom.functions.scratch import scratch_path
 
     def session(master):
-        return S(conf=S(get=lambda k, d: d), sparkContext=S(master=master, applicationId=f"app-{master}", getConf=lambda: S(get=lambda k: None)))
+        return S(conf=S(get=lambda k, d: d), sparkContext=S(master=master, applicationId=f"app-{master}", getConf=lambda: S(get=lambda k, d=None: d)))
 
     a, b = (scratch_path(session("local[8]"), "x") for _ in range(2))
     assert a != b and a.rsplit("/", 2)[0] == b.rsplit("/", 2)[0]

@@ -52,8 +52,3 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", ["file_inventory"])
-def test_rows_only(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0

@@ -59,3 +59,17 @@ def test_directions_follow_time(spark):
     timed = flows.flow_directions(packets, order="ts").first()
     assert (first["fwd_packets"], first["bwd_packets"], first["fwd_bytes"]) == (1, 2, 10)
     assert (timed["fwd_packets"], timed["bwd_packets"], timed["fwd_bytes"], timed["len_min"], timed["len_max"], timed["duration"]) == (2, 1, 320, 10, 300, 8.0)
+
+
+def test_unpacking_in_small_steps(tmp_path):
+    import bz2
+
+    text = bytes(range(256)) * 4000
+    good = {"a.gz": gzip.compress(text) + gzip.compress(b"more") * 3, "b.bz2": bz2.compress(text) + bz2.compress(b"more") * 3}
+    for name, packed in good.items():
+        path = tmp_path / name
+        for body, want in ((packed, "ok"), (packed[:-3], "cut off"), (packed[: len(packed) // 3], "cut off"), (b"no such thing" * 9, "unreadable"), (packed + b"x" * 40, "unreadable"), (b"", "ok")):
+            path.write_bytes(body)
+            for step in (7, 100, 1 << 20):
+                assert tables.unpacks(str(path), step) == want, (name, want, step)
+    assert tables.unpacks(f"file://{tmp_path}/gone.gz") == "unreadable"
