@@ -2,9 +2,11 @@
 
 One classifier sees the words of the text, the other only what a page says about
 itself: source, language tag, length and line layout. They start from the labelled
-rows of a bounded sample; in every round each hands its most confident guesses on
-unlabelled rows to the other as pseudo-labels. Both are then calibrated on
-labelled rows kept aside, and the calibrated views are combined to score all rows.
+rows of a bounded sample. In every round both score all unlabelled rows, and each
+hands guesses it is confident of to the other as pseudo-labels: up to a stated number
+of either class, drawn by hash from all rows that are confident enough, wherever they
+are. Both are calibrated on labelled rows kept aside, and the calibrated views are
+combined to score all rows.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.functions.scratch import materialize
 from packetloom.llm.words import Batch, Codes, bounded_batches, bucket, fit_in_task, fold, sample, with_texts
 
 BITS, META_BITS = 14, 8
+#: A view is confident of a guess from this log odds on.
+SURE = 2.0
 #: Labels of this fold of the documents are never learned from.
 FOLDS, HELD = 5, 0
 META = ["source", "lang", "n_chars", "n_lines"]
@@ -120,8 +125,8 @@ class _Sparse:
         return np.bincount(self.col, self.val * g[self.row], TEXT_SIZE)
 
 
-def fit(frame: pd.DataFrame, rounds: int = 3, share: float = 0.05, kept: int = 5) -> Model:
-    """Co-train on a frame of text, META and quality (1, 0 or missing)."""
+def fit(frame: pd.DataFrame, kept: int = 5) -> Model:
+    """Both views from a frame of text, META, quality (1, 0 or missing) and the pseudo-labels for_text and for_page, if it has them."""
     texts = [t if isinstance(t, str) else None for t in frame["text"]]
     words = _Sparse(list(text_rows(texts)), len(texts))
     page = page_rows(frame["source"], frame["lang"], frame["n_chars"], frame["n_lines"])
@@ -132,30 +137,18 @@ def fit(frame: pd.DataFrame, rounds: int = 3, share: float = 0.05, kept: int = 5
     if len(learn) == 0 or len(np.unique(y[learn])) < 2:
         sure = 0.0 if len(learn) == 0 else (6.0 if y[learn[0]] == 1 else -6.0)
         return Model(np.zeros(TEXT_SIZE), np.zeros(page.shape[1]), np.array([0.0, 0.0, sure]))
-    pool = np.flatnonzero(np.isnan(y))
-    guess = {"text": (learn, y[learn]), "page": (learn, y[learn])}
-    for turn in range(rounds + 1):
-        rows, goal = guess["text"]
-        part = words.take(rows)
-        w_text = _logistic(part.score, part.slope, TEXT_SIZE, goal, _balanced(goal))
-        rows, goal = guess["page"]
-        own = page[rows]
-        w_page = _logistic(lambda w, own=own: own @ w, lambda g, own=own: own.T @ g, page.shape[1], goal, _balanced(goal))
-        if turn == rounds or len(pool) == 0:
-            break
-        by = {"text": words.score(w_text), "page": page @ w_page}
-        take = max(1, int(share * len(pool)))
-        ratio = y[learn].mean()
-        for teacher, pupil in (("text", "page"), ("page", "text")):
-            z = by[teacher][pool]
-            order = np.argsort(z, kind="stable")
-            high, low = order[::-1][: max(1, int(take * ratio))], order[: max(1, int(take * (1 - ratio)))]
-            high, low = high[z[high] > 2.0], low[z[low] < -2.0]  # confident guesses only
-            rows, goal = guess[pupil]
-            new = pool[np.r_[high, low]]
-            value = np.r_[np.ones(len(high)), np.zeros(len(low))]
-            fresh = ~np.isin(new, rows)
-            guess[pupil] = (np.r_[rows, new[fresh]], np.r_[goal, value[fresh]])
+
+    def lesson(view: str) -> tuple[np.ndarray, np.ndarray]:
+        told = frame[f"for_{view}"].to_numpy(float) if f"for_{view}" in frame else np.full(len(frame), np.nan)
+        extra = np.flatnonzero(~np.isnan(told) & np.isnan(y))
+        return np.r_[learn, extra], np.r_[y[learn], told[extra]]
+
+    rows, goal = lesson("text")
+    part = words.take(rows)
+    w_text = _logistic(part.score, part.slope, TEXT_SIZE, goal, _balanced(goal))
+    rows, goal = lesson("page")
+    own = page[rows]
+    w_page = _logistic(lambda w: own @ w, lambda g: own.T @ g, page.shape[1], goal, _balanced(goal))
     both = np.stack([words.score(w_text)[aside], (page @ w_page)[aside], np.ones(len(aside))], 1)
     mix = _logistic(lambda w: both @ w, lambda g: both.T @ g, 3, y[aside], np.ones(len(aside)), 1e-3, 300)
     return Model(w_text, w_page, mix)
@@ -176,22 +169,64 @@ def _columns(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, n_
     return [F.col(doc_id).alias("doc_id"), body.alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(n_chars).cast("double").alias("n_chars"), lines.cast("double").alias("n_lines")]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, unlabelled: int = 1500, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality") -> Model:
-    """Fit on at most ``per_class`` labelled rows of either class and ``unlabelled`` others, whole texts, none of the held-out fold."""
+def _both_views(model: Model) -> Column:
+    """The output of either view, for rows with the columns text and META."""
+
+    @F.pandas_udf("z_text double, z_page double")
+    def of(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series, n_lines: pd.Series) -> pd.DataFrame:
+        a, b = views(model, text, source, lang, n_chars, n_lines)
+        return pd.DataFrame({"z_text": a, "z_page": b})
+
+    return of("text", *META)
+
+
+def _guesses(model: Model, pool: DataFrame, each: int) -> DataFrame:
+    """(doc_id, for_text, for_page): up to ``each`` confident guesses of either class by each view, for the other one."""
+    told = materialize(pool.withColumn("z", _both_views(model)).groupBy("doc_id").agg(*[F.avg(f"z.z_{v}").alias(v) for v in ("text", "page")]), "views")
+    guess = [F.struct(F.lit(pupil).alias("pupil"), F.col(teacher).alias("z")) for teacher, pupil in (("text", "page"), ("page", "text"))]
+    sure = told.select("doc_id", F.inline(F.array(*guess))).filter(F.abs("z") > SURE)
+    sure = sure.select("doc_id", F.concat("pupil", F.when(F.col("z") > 0, "1").otherwise("0")).alias("slot"))
+    drawn = sample(sure, "slot", each)
+    value = lambda v: F.max(F.when(F.col("slot") == f"{v}1", 1).when(F.col("slot") == f"{v}0", 0)).alias(f"for_{v}")
+    return drawn.groupBy("doc_id").agg(value("text"), value("page"))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, per_class: int = 1000, each: int = 100, rounds: int = 2,
+    doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", quality: str = "quality",
+) -> Model:
+    """Fit on at most ``per_class`` labelled rows of either class, whole texts, none of the held-out fold.
+
+    Each of ``rounds`` scores every row without a label by both views, and each view hands
+    the other up to ``each`` guesses of either class; those of all rounds stay, a later one
+    for the same row counts.
+    """
     rows = docs.select(*_columns(docs, doc_id, text, source, lang, n_chars)).filter(F.col("doc_id").isNotNull())
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("quality")).filter(F.col("quality").isin(0, 1)).distinct()
     known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD)
-    other = rows.select("doc_id").filter(fold(F.col("doc_id"), FOLDS) != HELD).join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"))
-    chosen = sample(known, "quality", per_class).unionByName(sample(other, "quality", unlabelled))
-    got = with_texts(chosen, rows, ["text", *META])
-    return Model(**fit_in_task(got, lambda pdf: fit(pdf.sort_values(["doc_id", "text", "quality"], ignore_index=True))))
+    chosen = materialize(sample(known, "quality", per_class).withColumns({"for_text": F.lit(None).cast("int"), "for_page": F.lit(None).cast("int")}), "chosen")
+    # ids with a label, on slim columns; their rows take no pseudo-label
+    pool = rows.filter(fold(F.col("doc_id"), FOLDS) != HELD).join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+
+    def fitted(taught: DataFrame) -> Model:
+        got = with_texts(taught, rows, ["text", *META])
+        return Model(**fit_in_task(got, lambda pdf: fit(pdf.sort_values(["doc_id", "text", "quality"], ignore_index=True))))
+
+    model = fitted(chosen)
+    guesses = None
+    for turn in range(rounds if model.mix[:2].any() else 0):
+        new = _guesses(model, pool, each).withColumn("turn", F.lit(turn))
+        guesses = materialize(new if guesses is None else guesses.unionByName(new), "guesses")
+        last = guesses.groupBy("doc_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn"))).alias(c) for c in ("for_text", "for_page")])
+        model = fitted(chosen.unionByName(last.select("doc_id", F.lit(None).cast("int").alias("quality"), "for_text", "for_page")))
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, text_score, page_score, score and predicted of every row of ``docs``.
 
-    * Learns labels from the rows whose fold (crc32 of doc_id, modulo 5) is not 0; rows
-      of those folds without a label are the pool for pseudo-labels.
+    * Learns labels from the rows whose fold (crc32 of doc_id, modulo 5) is not 0; all
+      rows of those folds without a label are the pool for pseudo-labels.
     * text_score and page_score are the views by themselves, score their calibrated
       combination (0 to 1, higher: better), predicted is 1 from 0.5 on.
     * NULL texts count as empty, missing page data has a place of its own. Without

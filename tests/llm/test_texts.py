@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from packetloom.llm import cotrain, decontam, extract, langid, pii, toxicity
 from packetloom.llm.words import Batch
@@ -142,7 +143,7 @@ def test_quality_of_held_out_rows(spark, docs, labels):
     assert cotrain.quality_scores(spark.createDataFrame([], DOC), labels).count() == 0
 
 
-def test_pseudo_labels_teach_the_other_view():
+def test_pseudo_labels_teach_the_other_view(spark):
     rng = np.random.default_rng(1)
     good = rng.integers(0, 2, 600)
     frame = pd.DataFrame({
@@ -151,8 +152,20 @@ def test_pseudo_labels_teach_the_other_view():
         "source": [f"s{rng.integers(0, 6) if rng.random() < 0.2 else (g * 3 + rng.integers(0, 3))}" for g in good],
         "lang": ["en"] * 600, "n_chars": [60.0] * 600, "n_lines": [1.0] * 600,
     })
-    frame["quality"] = np.where(np.arange(600) < 20, good.astype(float), np.nan)
-    model = cotrain.fit(frame)
+    table = spark.createDataFrame(frame[["doc_id", "text", "source", "lang", "n_chars"]])
+    marks = spark.createDataFrame([(i, int(good[i])) for i in range(600) if i < 10 or fold([i], 5)[0] == 0], "doc_id long, quality int")
+    model = cotrain.train(table, marks)
+    alone = cotrain.train(table, marks, rounds=0)
+    taught = [((cotrain.views(m, frame["text"], frame["source"], frame["lang"], frame["n_chars"], frame["n_lines"])[1] > 0) == good).mean() for m in (alone, model)]
+    assert taught[1] > max(0.85, taught[0])
+    # every row that is confident enough can be drawn, each view and class up to its number
+    pool = table.withColumn("n_lines", F.lit(1.0))
+    drawn = cotrain._guesses(model, pool, 40).toPandas()
+    assert all((drawn[f"for_{v}"] == c).sum() == 40 for v in ("page",) for c in (0, 1))
+    assert all((drawn["for_text"] == c).sum() <= 40 for c in (0, 1))
+    every = cotrain._guesses(model, pool, 10_000).toPandas()
+    sure = np.abs(cotrain.views(model, frame["text"], frame["source"], frame["lang"], frame["n_chars"], frame["n_lines"])[0]) > cotrain.SURE
+    assert sorted(every.loc[every["for_page"].notna(), "doc_id"]) == np.flatnonzero(sure).tolist() and sure.sum() > 200
     a, b = cotrain.views(model, frame["text"], frame["source"], frame["lang"], frame["n_chars"], frame["n_lines"])
     assert ((a > 0) == good).mean() > 0.98 and ((b > 0) == good).mean() > 0.85
 
