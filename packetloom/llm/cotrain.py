@@ -180,13 +180,14 @@ def _both_views(model: Model) -> Column:
     return of("text", *META)
 
 
-def _guesses(model: Model, pool: DataFrame, labelled: DataFrame, each: int) -> DataFrame:
+def _guesses(model: Model, pool: DataFrame, each: int, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, for_text, for_page): up to ``each`` confident guesses of either class by each view, for the other one.
 
     The rows with a label leave after scoring: numbers are shuffled, never texts.
     """
     told = materialize(pool.withColumn("z", _both_views(model)).groupBy("doc_id").agg(*[F.avg(f"z.z_{v}").alias(v) for v in ("text", "page")]), "views")
-    told = told.join(labelled.hint("merge"), "doc_id", "left_anti")
+    if labelled is not None:
+        told = told.join(labelled.hint("merge"), "doc_id", "left_anti")
     guess = [F.struct(F.lit(pupil).alias("pupil"), F.col(teacher).alias("z")) for teacher, pupil in (("text", "page"), ("page", "text"))]
     sure = told.select("doc_id", F.inline(F.array(*guess))).filter(F.abs("z") > SURE)
     sure = sure.select("doc_id", F.concat("pupil", F.when(F.col("z") > 0, "1").otherwise("0")).alias("slot"))
@@ -219,7 +220,7 @@ def train(
     model = fitted(chosen)
     guesses = None
     for turn in range(rounds if model.mix[:2].any() else 0):
-        new = _guesses(model, pool, labelled, each).withColumn("turn", F.lit(turn))
+        new = _guesses(model, pool, each, labelled).withColumn("turn", F.lit(turn))
         guesses = materialize(new if guesses is None else guesses.unionByName(new), "guesses")
         last = guesses.groupBy("doc_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn"))).alias(c) for c in ("for_text", "for_page")])
         model = fitted(chosen.unionByName(last.select("doc_id", F.lit(None).cast("int").alias("quality"), "for_text", "for_page")))
