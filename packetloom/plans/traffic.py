@@ -64,14 +64,14 @@ def flow_json_preview(v: Views):
 @query(f"""WITH {PACKETS} SELECT CAST(pkt_seq // 500 AS BIGINT) AS file_no,
     CAST(row_number() OVER (PARTITION BY pkt_seq // 500 ORDER BY pkt_seq) - 1 AS BIGINT) AS pkt_seq, ts, length AS orig_len, length AS raw_len FROM packets""")
 def packets_from_captures(v: Views):
-    rows = split_captures(capture_bytes(v.packets()))
+    rows = split_captures(capture_bytes(v.wire_packets()))
     return rows.select(F.regexp_extract("file", r"(\d+)", 1).cast("bigint").alias("file_no"), "pkt_seq", "ts", "orig_len", F.length("raw").cast("bigint").alias("raw_len"))
 
 
 def captured(v: Views, per_file: int = 5000):
     """The packets written as capture files: their folder."""
     folder = scratch_path(v.spark, "captures")
-    cap.write_captures(capture_bytes(v.packets(), per_file), folder)
+    cap.write_captures(capture_bytes(v.wire_packets(), per_file), folder)
     return folder
 
 
@@ -85,7 +85,7 @@ def captures_by_ranges(v: Views):
 
 @query(f"""WITH {PACKETS} SELECT ts, proto, length, length - 34 AS payload_len, src_ip, dst_ip, src_port, dst_port, flags FROM packets""")
 def parse_packets(v: Views):
-    rows = cap.parse_packets(split_captures(capture_bytes(v.packets())))
+    rows = v.off_the_wire(cap.parse_packets(split_captures(capture_bytes(v.wire_packets()))))
     return rows.select("ts", "proto", "length", "payload_len", "src_ip", "dst_ip", "src_port", "dst_port", "flags")
 
 
@@ -109,7 +109,8 @@ def flow_directional_by_time(v: Views):
 
 _DAY, _IDLE, _SLICES = 86400, 3 * 86400, 6
 # Slices of equal time. Packets of the last day of a slice that draw the number 7 come with
-# the next slice, which the watermark allows; old ones that draw 13 come last and too late.
+# the next slice, which the watermark allows; old ones that draw 13 come last and too late: in a
+# trigger of their own, since late packets are judged by the watermark of the trigger before.
 _ARRIVALS = f"""{PACKETS}, span AS (SELECT min(ts) AS t0, (max(ts) - min(ts)) / {_SLICES} AS w FROM packets),
 cut AS (SELECT k.*, least(floor((ts - t0) / w), {_SLICES - 1}) AS own, t0, w FROM keyed k, span),
 arrived AS (SELECT * FROM cut WHERE NOT (pkt_seq % 50 = 13 AND ts < t0 + {_SLICES - 1} * w - 8 * {_DAY}))"""
