@@ -124,7 +124,7 @@ _SESSION_COLS = """flow_key, proto, round(d, 6) AS duration, n AS pkt_count, tb
   CASE WHEN (fl & 2) <> 0 THEN 1 ELSE 0 END AS has_syn, CASE WHEN (fl & 1) <> 0 THEN 1 ELSE 0 END AS has_fin"""
 
 
-def arriving(v: Views, base: str, slices=range(_SLICES)):
+def arriving(v: Views, base: str, slices=range(_SLICES + 1)):
     """The packets as a stream of one file per trigger, some late, some too late; ``slices`` are written now."""
     packets = v.packets()
     t0, t1 = packets.agg(F.min("ts"), F.max("ts")).first()
@@ -133,7 +133,7 @@ def arriving(v: Views, base: str, slices=range(_SLICES)):
     draw = F.col("pkt_seq") % 50
     late = (draw == 7) & (F.col("ts") >= t0 + (own + 1) * width - _DAY)
     lost = (draw == 13) & (F.col("ts") < t0 + (_SLICES - 1) * width - 8 * _DAY)
-    number = F.when(lost, _SLICES - 1).when(late, F.least(own + 1, F.lit(_SLICES - 1))).otherwise(own)
+    number = F.when(lost, _SLICES).when(late, F.least(own + 1, F.lit(_SLICES - 1))).otherwise(own)
     numbered = packets.withColumn("slice", number.cast("int"))
     for i in slices:
         numbered.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(f"{base}/in")
