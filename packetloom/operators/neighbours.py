@@ -39,6 +39,40 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_pairs(a: np.ndarray, b: np.ndarray, k: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, distance) of the ``k`` nearest of each row, by distance and place, none where ``same``.
+
+    Matrix products in single precision give each squared distance with a bound on its
+    error; what may be among the ``k`` nearest is measured in double precision.
+    """
+    centre = b.mean(0)
+    a0, b0 = a - centre, b - centre
+    na, nb = (np.einsum("ij,ij->i", x, x) for x in (a0, b0))
+    top = max(na.max(), nb.max())
+    if np.isfinite(top) and top < 1e30 and k < len(b):
+        about = a0.astype(np.float32) @ (-2 * b0.astype(np.float32)).T
+        about += na.astype(np.float32)[:, None]
+        about += nb.astype(np.float32)
+        about[same] = np.inf
+        slack = 8 * (a.shape[1] + 8) * np.finfo(np.float32).eps * (na + nb.max()) + 1e-30
+        kth = about.min(1) if k == 1 else np.partition(about, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(about <= np.nextafter((kth + 2 * slack).astype(np.float32), np.float32(np.inf))[:, None])
+    else:
+        row, col = np.nonzero(~same)
+    far = np.empty(len(row))
+    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    for i in range(0, len(row), step):
+        d = a[row[i : i + step]] - b[col[i : i + step]]
+        far[i : i + step] = np.sqrt(np.einsum("ik,ik->i", d, d))
+    fine = np.isfinite(far) & ~same[row, col]
+    row, col, far = row[fine], col[fine], far[fine]
+    order = np.lexsort((col, far, row))
+    row, col, far = row[order], col[order], far[order]
+    first = np.searchsorted(row, np.arange(len(a)))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], col[kept], far[kept]
+
+
 def _search_block(k: int):
     """Nearest ``k`` candidates of each point inside one pair of blocks."""
 
@@ -52,16 +86,8 @@ def _search_block(k: int):
         for i in range(0, len(points), 1024):
             some = points.iloc[i : i + 1024]
             a, aid = np.stack(some["v"].to_numpy()), some["vid"].to_numpy()
-            d = _distances(a, b)
-            d[aid[:, None] == bid[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, axis=1)
-            ok = np.isfinite(near)
-            parts.append(
-                pd.DataFrame(
-                    {"g": some["g"].iloc[0], "vid": np.repeat(aid, best.shape[1])[ok.ravel()], "nvid": bid[best].ravel()[ok.ravel()], "distance": near.ravel()[ok.ravel()]}
-                )
-            )
+            row, col, near = _nearest_pairs(a, b, k, aid[:, None] == bid[None, :])
+            parts.append(pd.DataFrame({"g": some["g"].iloc[0], "vid": aid[row], "nvid": bid[col], "distance": near}))
         return pd.concat(parts)
 
     return search
