@@ -91,6 +91,25 @@ def test_words_of_switched_text(docs):
 # ------------------------------------------------------------------ toxicity and quality
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    # a mark that only one labelled row in sixty bears is learned too, from shards of few rows
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 600)
+    seen = []
+    learn = toxicity._counted_outputs
+    monkeypatch.setattr(toxicity, "_counted_outputs", lambda rows, model: seen.append(learn(rows, model)) or seen[-1])
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(3600):
+        bad = i % 60 == 0
+        text = rng.choices("ba ce di fo gu ha ko".split(), k=6) + (["vexlo"] if bad else ["miro"] if i % 2 else [])
+        rows.append((i, " ".join(text), None, None, None, 0.0, "x"))
+        marks.append((i, int(bad)))
+    got = toxicity.toxic_scores(spark.createDataFrame(rows, DOC), spark.createDataFrame(marks, "doc_id long, toxic int")).toPandas()
+    assert (got["predicted"] == (got["doc_id"] % 60 == 0)).mean() > 0.99
+    learned = sum(f != 0 for f in fold(range(3600), 5))
+    assert 0.7 * learned < learned - seen[0][["up", "down"]].sum().sum() < 0.9 * learned
+
+
 def test_toxicity_gradient_is_the_slope():
     model = toxicity.fit(["a b c d", "e f g"] * 4, np.array([1, 0] * 4), ["x"] * 8, passes=1, least_steps=1)
     batch, y, w = Batch(["a b c x y", "e q", ""]), np.array([1.0, 0.0, 1.0], np.float32), np.ones(3, np.float32)
