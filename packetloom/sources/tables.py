@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.files import open_file
 from packetloom.functions.ordering import digest_normal, digest_unit
+from packetloom.functions.scratch import materialize
 from packetloom.operators.schema import trim_names
 
 CORRUPT = "_corrupt_record"
@@ -205,10 +206,13 @@ def synthetic_flows(
     cluster, whatever the largest class is. Values follow from the class, row
     number and feature, so a task that runs again makes the same rows.
     """
+    stats = materialize(stats, "stats")
+    # few small rows stand for all chunks: a number of partitions of its own keeps them from being put together
+    parts = stats.agg(F.sum(F.ceil(F.col(rows) / chunk))).first()[0] or 1
     blocks = stats.withColumn("__blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col(rows) / chunk).cast("int") - 1)))
     start = F.col("__blk").cast("bigint") * chunk
     size = F.least(F.lit(chunk), F.col(rows) - start).cast("int")
-    out = blocks.repartition(*by, "__blk").withColumn("__i", F.explode(F.sequence(F.lit(1), size)))
+    out = blocks.repartition(int(parts), *by, "__blk").withColumn("__i", F.explode(F.sequence(F.lit(1), size)))
     text = [F.concat_ws(":", *by, (start + F.col("__i")).cast("string"), F.lit(c), F.lit(seed)) for c in features]
     return out.select(
         *by,

@@ -11,6 +11,7 @@ from packetloom.functions import quantiles
 from packetloom.functions.dims import attach
 from packetloom.functions.ordering import mark_quota, repeat_rows, running_totals
 from packetloom.functions.quantiles import exact_quantiles
+from packetloom.functions.scratch import materialize
 from packetloom.operators.sampling import hash_split, sample_capped, sample_fraction, sample_n, sample_proportional, stratified_split
 from packetloom.operators.summaries import drop_warmup, quantiles_by
 
@@ -142,3 +143,13 @@ def test_scratch_without_a_checkpoint_folder():
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="checkpoint"):
             scratch_path(session(master), "x")
+
+
+def test_synthetic_rows_are_made_by_many_tasks(spark):
+    from packetloom.sources.tables import synthetic_flows
+
+    stats = spark.createDataFrame([("x", 900, 1.0, 2.0), ("y", 100, 5.0, 0.0)], "label string, n bigint, a_mean double, a_sd double")
+    out = synthetic_flows(stats, "n", ["a"], ["label"], chunk=50).withColumn("task", F.spark_partition_id())
+    got = materialize(out, "synthetic")
+    assert got.select("task").distinct().count() > 5
+    assert {(r["label"], r["count"]) for r in got.groupBy("label").count().collect()} == {("x", 900), ("y", 100)}
