@@ -70,6 +70,18 @@ def _linear(df):
     return df.withColumn("score", 2 * F.col("a") - F.col("b")).withColumn("pred", (F.col("a") > 1).cast("int"))
 
 
+def test_folded_rows_are_learned_from_once(rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ml, "spread_rows", lambda df: seen.append(df.count()) or df)
+    many = rows.select(F.floor(F.col("a")).alias("a"), "b", "y").crossJoin(rows.sparkSession.range(40).select())
+    for est in (ml.random_forest(5, 4), ml.boosted_trees(5, 3)):
+        model = ml.train(many, ["a", "b"], "y", est, folded=True)
+        assert binary_rates(ml.score(model, many), "y").first()["accuracy"] > 0.95
+        assert ml.score(model, many).columns == ["a", "b", "y", "pred", "score"]
+    # 60,000 rows, 1,500 of them distinct, in at most 32 x 32 ranges of either label
+    assert max(seen) <= 1500
+
+
 def test_permutation_importance(rows):
     got = {r["feature"]: r for r in ml.permutation_importance(_linear, rows, FEATS, "y", ["id"], repeats=3, rows=500).collect()}
     assert got["b"]["importance"] == 0 and got["c"]["importance"] == 0 and got["a"]["importance"] > 0.2
