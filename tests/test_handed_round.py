@@ -1,5 +1,6 @@
 """Numbers handed on along an order in blocks, and what is made of them."""
 
+import math
 import random
 import statistics
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import scratch
-from packetloom.functions.ordering import BLOCK_ROWS, handed_round, in_blocks
+from packetloom.functions.ordering import BLOCK_ROWS, handed_across, handed_round, in_blocks
 from packetloom.functions.scratch import materialize
 from packetloom.operators import models as ml
 
@@ -25,6 +26,28 @@ def test_each_row_gets_the_row_so_many_places_on(spark, n):
             assert r[f"h{i}"] == ([j * 3.5, j + 7.0] if i % 2 else [j + 7.0])
 
 
+@pytest.mark.parametrize("n", [1, 2, BLOCK_ROWS + 3, 5 * BLOCK_ROWS + 77])
+def test_each_row_gets_the_row_its_number_is_sent_to(spark, n):
+    number = F.when(F.col("id") % 7 == 3, None).when(F.col("id") % 7 == 4, float("nan")).otherwise(F.col("id") * 3.5)
+    rows = spark.range(n).select(F.col("id").alias("at"), number.alias("a"), F.concat(F.lit("k"), "id").alias("key")).repartition(5)
+    hands = [(a, b % n, "a") for a in (1, 5, n - 1) for b in (0, 11) if math.gcd(a, n) == 1]
+    got = {r["at"]: r for r in handed_across(materialize(rows, "t"), "at", n, hands).collect()}
+    assert len(got) == n and all(r["key"] == f"k{at}" for at, r in got.items())
+    for at, r in got.items():
+        for (a, b, _), x in zip(hands, r["handed"]):
+            j = (a * at + b) % n
+            assert x is None if j % 7 == 3 else math.isnan(x) if j % 7 == 4 else x == j * 3.5
+
+
+def test_shuffled_copies_are_made_without_a_row_moving(spark):
+    rows = materialize(spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y")), "t")
+    seen = []
+    score = lambda df: seen.append(df) or df.withColumn("pred", (F.col("a") % 2).cast("int"))
+    ml.permutation_importance(score, rows, ["a"], "y", ["id"], repeats=3).collect()
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(other") == 0
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
