@@ -5,7 +5,7 @@ Jaccard similarity of at least 4/5. SimHash links tie near copies cheaply; each
 is verified on the texts. What they miss is found by prefixes: shingles have one
 order, rare ones first, and two alike texts of at most n shingles share one among
 the first n - ceil(4n/5) + 1 of either. Pairs already in one group, and pairs whose
-sizes, places of the shingle or counts of hashes rule it out, are left; the others are
+sizes, places of the shingle or signatures of the hashes rule it out, are left; the others are
 verified on their texts, so the groups are those of brute force. What travels is
 numbers: a shingle's hash, a text's id, place and counts. Before all pairs of a shingle
 are made, its texts are held against a few leaders: the copies of a large group are
@@ -42,8 +42,8 @@ MOST_IDS = 1_000_000
 BLOCK = 512
 #: Orders of the texts; the first text of a shingle in each of them leads it. One is by the share of repeated shingles.
 LEADERS = 3
-#: Counters of a text's signature; texts of more shingles than a counter holds go without.
-_BINS, _MOST = 64, 65_535
+#: Bits of a text's signature.
+_BITS = 1024
 
 
 def shingles(text: bytes | None) -> set[bytes]:
@@ -63,22 +63,23 @@ def alike(a: bytes | None, b: bytes | None) -> bool:
 def _prefix(text: bytes | None, late: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     """How many shingles there are, the hashes of the first ones in the order, and the signature.
 
-    The signature counts the hashes in bins: two texts have no more in common than
-    the lesser counts of all bins sum up to.
+    A bit of the signature tells whether an odd number of hashes falls on it. A shingle
+    that only one of two texts holds turns one bit: these are no fewer than the bits
+    in which the signatures differ, however long the texts are.
     """
     hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text)), np.uint64).view(np.int64))
     n = len(hashes)
-    bins = np.bincount(hashes & (_BINS - 1), minlength=_BINS) if n <= _MOST else np.zeros(_BINS)
+    bits = np.packbits(np.bincount(hashes & (_BITS - 1), minlength=_BITS) & 1)
     if len(late):
         last = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
         hashes = np.concatenate([hashes[~last], hashes[last]])
-    return n, hashes[: n + LEAST[0] * -n // LEAST[1] + 1], bins.astype("<u2").tobytes()
+    return n, hashes[: n + LEAST[0] * -n // LEAST[1] + 1], bits.tobytes()
 
 
 def _prefixes(text: Column, late: np.ndarray) -> Column:
-    @F.pandas_udf("n int, prefix array<long>, bins binary")
+    @F.pandas_udf("n int, prefix array<long>, bits binary")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_prefix(t, late) for t in texts], columns=["n", "prefix", "bins"])
+        return pd.DataFrame([_prefix(t, late) for t in texts], columns=["n", "prefix", "bits"])
 
     return of(text.cast("binary"))
 
@@ -120,7 +121,8 @@ def _true(pairs: DataFrame, docs: DataFrame, unique: DataFrame) -> DataFrame:
 
 def _share(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """What pairs (i, j) of rows can have in common at most, of all their hashes."""
-    return np.minimum(x["bins"][i], x["bins"][j]).sum(1, dtype=np.int64) / (x["n"][i] + x["n"][j])
+    both = x["n"][i] + x["n"][j]
+    return (both - _apart(x["bits"][i], x["bits"][j])) / 2 / both
 
 
 def _can_be_alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -133,30 +135,34 @@ def _can_be_alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.
     left = np.flatnonzero(ok)
     for s in range(0, len(left), 1 << 16):
         p = left[s : s + (1 << 16)]
-        ok[p] = _enough(n[p], m[p], x["bins"][i[p]], x["bins"][j[p]])
+        ok[p] = _enough(n[p], m[p], x["bits"][i[p]], x["bits"][j[p]])
     return ok
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the signatures (rows of x and y) differ."""
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
 def _enough(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the counts of hashes (rows of x and y) leave room for what texts of n and m shingles need in common."""
-    most = np.minimum(x, y).sum(1, dtype=np.int64)
-    return (sum(LEAST) * most >= LEAST[0] * (n + m)) | (n > _MOST) | (m > _MOST)
+    """Whether the signatures (rows of x and y) leave room for what texts of n and m shingles need in common."""
+    return sum(LEAST) * (n + m - _apart(x, y)) >= 2 * LEAST[0] * (n + m)
 
 
-def _counts(bins: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, bins)), "<u2").reshape(-1, _BINS)
+def _signatures(bits: pd.Series | list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, bits)), "<u8").reshape(-1, _BITS // 64)
 
 
 def _not_ruled_out(n: Column, m: Column, x: Column, y: Column) -> Column:
     @F.pandas_udf("boolean")
     def of(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_enough(n.to_numpy(np.int64), m.to_numpy(np.int64), _counts(x), _counts(y)))
+        return pd.Series(_enough(n.to_numpy(np.int64), m.to_numpy(np.int64), _signatures(x), _signatures(y)))
 
     return of(n, m, x, y)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, share) of sorted rows (h, lo, hi, blk, id, c, n, at, bins); holds one open group at a time."""
+    """(a, b, share) of sorted rows (h, lo, hi, blk, id, c, n, at, bits); holds one open group at a time."""
 
     def done(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         new = np.r_[True, (x["h"][1:] != x["h"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])]
@@ -182,7 +188,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0:
             continue
         x = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
-        x["bins"] = np.frombuffer(b"".join(batch.column("bins").to_pylist()), "<u2").reshape(-1, _BINS)
+        x["bits"] = _signatures(batch.column("bits").to_pylist())
         x = x if held is None else {c: np.concatenate([held[c], x[c]]) for c in x}
         same = (x["h"] == x["h"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
         cut = int(np.argmax(same))  # rows are sorted: the open group is what follows
@@ -205,7 +211,7 @@ def groups(docs: DataFrame) -> DataFrame:
     prints = docs.select("doc_id", copy_of(text).alias("copy"), fingerprints(text, WORDS).alias("fp"), _prefixes(text, np.zeros(0, np.int64)).alias("p"))
     prints = prints.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("p").alias("p"))
     # a number a text, given once and stored
-    unique = materialize(prints.select(F.monotonically_increasing_id().alias("id"), "copy", "first", "fp", "p.n", "p.prefix", "p.bins"), "unique")
+    unique = materialize(prints.select(F.monotonically_increasing_id().alias("id"), "copy", "first", "fp", "p.n", "p.prefix", "p.bits"), "unique")
 
     heads = materialize(unique.groupBy("fp").agg(F.min("id").alias("head")), "heads")
     same = unique.join(heads, "fp").filter(F.col("head") != F.col("id")).select(F.col("head").alias("a"), F.col("id").alias("b"))
@@ -276,7 +282,7 @@ def _led(rows: DataFrame, links: DataFrame, unique: DataFrame) -> DataFrame:
     shared = led.groupBy("order", "id", "leader").count()
     best = shared.groupBy("order", "id").agg(F.max(F.struct("count", "leader")).alias("l"))
     pairs = best.select(F.least("id", "l.leader").alias("a"), F.greatest("id", "l.leader").alias("b")).distinct()
-    counts = unique.select("id", "n", "bins")
+    counts = unique.select("id", "n", "bits")
     pairs = pairs.join(counts.toDF("a", "n", "x").hint("merge"), "a").join(counts.toDF("b", "m", "y").hint("merge"), "b")
     return pairs.filter(_not_ruled_out(F.col("n"), F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
 
@@ -287,9 +293,9 @@ def _shared(unique: DataFrame, links: DataFrame, docs: DataFrame, rows: DataFram
     # a shingle met in one group only makes no pair
     mixed = rows.groupBy("h").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
     mixed = mixed.select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(mixed.hint("merge"), "h").join(unique.select("id", "bins").hint("merge"), "id")
+    rows = rows.join(mixed.hint("merge"), "h").join(unique.select("id", "bits").hint("merge"), "id")
     rows = materialize(rows, "shared")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("h", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", "c", "n", "at", "bins")
+    rows = rows.select("h", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "id", "c", "n", "at", "bits")
     dealt = rows.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
     return dealt.mapInArrow(_candidates, "a long, b long, share double").distinct()

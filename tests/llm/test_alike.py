@@ -1,5 +1,7 @@
 """The near-duplicate stage against brute-force similarity over five-word shingles."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,21 @@ def test_signature_never_rules_out_a_pair_that_is_alike():
     fit = alike._can_be_alike(x, i, j)
     true = np.array([alike.alike(texts[a].encode(), texts[b].encode()) for a, b in zip(i, j)])
     assert true.sum() > 50 and not (true & ~fit).any() and fit.sum() < len(i) / 2
+
+
+def test_texts_that_are_not_quite_alike_make_few_pairs(spark, monkeypatch):
+    """Texts of which none is alike to another, all with some two thirds in common."""
+    rnd, made = random.Random(6), []
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"x{rnd.random()}" if i in own else w for i, w in enumerate(base)) for own in (set(rnd.sample(range(400), 9)) for _ in range(150))]
+    store = alike.materialize
+
+    def counted(df, name):
+        out = store(df, name)
+        if name in ("led", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(alike, "materialize", counted)
+    got = alike.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert got["component"].nunique() == 150 and sum(made) < 150
