@@ -85,13 +85,17 @@ def _prefixes(text: Column, late: np.ndarray) -> Column:
 
 
 def copy_of(text: Column) -> Column:
-    """Digest of a text's words: equal for copies up to blanks and A-Z case."""
+    """Digest of a text's words: equal for copies up to blanks and A-Z case.
+
+    Declared non-deterministic, which it is not, so that joins on it do not make the
+    planner work it out twice, by two Python workers a task.
+    """
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([xxhash.xxh128_hexdigest(b" ".join((t or b"").lower().split())) for t in texts], dtype=object)
 
-    return of(text.cast("binary"))
+    return of.asNondeterministic()(text.cast("binary"))
 
 
 def _verified(a: Column, b: Column) -> Column:
@@ -250,7 +254,7 @@ def _rows(unique: DataFrame, docs: DataFrame) -> DataFrame:
     if len(late):
         # common shingles go last: only prefixes that hold one change
         spark = unique.sparkSession
-        common = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": late})))
+        common = F.broadcast(spark.createDataFrame(pa.table({"h": late})))
         ids = materialize(prefix.join(common, "h", "left_semi").select("id").distinct(), "common")
         anew = _texts_of(ids, unique, docs).select("id", _prefixes(F.col("text"), late).alias("p")).select("id", "p.n", "p.prefix")
         anew = materialize(anew, "prefixes")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
+from packetloom.functions.dims import bounded
 from packetloom.llm import alike
 from tests.llm.test_near_duplicates import brute_components
 
@@ -100,3 +101,18 @@ def test_texts_that_are_not_quite_alike_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(alike, "materialize", counted)
     got = alike.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     assert got["component"].nunique() == 150 and sum(made) < 150
+
+
+def test_texts_of_ids_go_to_python_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(9)], "doc_id long, text string")
+    unique = docs.select(docs.doc_id.alias("id"), alike.copy_of(docs.text).alias("copy"), docs.doc_id.alias("first"))
+    texts = alike._texts_of(spark.createDataFrame([(2,), (5,)], "id long"), unique, docs)
+    assert texts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["id"], bytes(r["text"])) for r in texts.collect()) == [(2, b"a b c d e f 2"), (5, b"a b c d e f 5")]
+
+
+def test_an_empty_side_of_a_join_needs_no_python(spark):
+    ddl = "k bigint, v array<string>, w decimal(9,2)"
+    side, small = bounded(spark.createDataFrame([(1, ["a"], None)], ddl).filter("k > 1"))
+    assert small and side.count() == 0 and [(f.name, f.dataType) for f in side.schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], ddl).schema]
+    assert "RDD" not in side._jdf.queryExecution().executedPlan().toString()
