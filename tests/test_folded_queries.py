@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from packetloom.operators import models as ml
 
 SF = "/root/testdata/sf0.001"
-FOLDED = ["train_gbt_small", "score_confidence", "batch_score", "attribution_rank"]
+FOLDED = ["train_gbt_small", "score_confidence", "batch_score", "attribution_rank", "learning_curve", "unified_experiment", "model_comparison"]
 
 
 @pytest.mark.parametrize("name", FOLDED)
