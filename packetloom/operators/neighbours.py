@@ -3,17 +3,17 @@
 Equal vectors are folded into one first. The remaining distinct vectors are put
 into cells around a few pivots; distance bounds then tell which cells can hold a
 neighbour of a point, and only those are searched. A search works on one block of
-points against one block of candidates and gives back ``k`` rows per point, so
-pairs never become rows and a crowded cell is simply more blocks.
+points against one block of candidates and keeps ``k`` rows per point, so pairs
+never become rows and a crowded cell is simply more blocks. Pairs of blocks are not stored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -25,8 +25,12 @@ from packetloom.operators.hashed import Hashing, hashed_neighbours
 
 _PIVOTS = 512
 _BLOCK = 8_192
-_QUERY_BLOCK = 16_384
+#: Points that are held against a block at once.
+_QUERY_BLOCK = 1_024
 _MAX_CELLS = 200_000
+#: Tasks' shares of the blocks: one side in up to so many parts, the other in parts of so many blocks.
+_MAX_PARTS = 256
+_PART_BLOCKS = 16
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,36 +77,88 @@ def _nearest_pairs(a: np.ndarray, b: np.ndarray, k: int, same: np.ndarray) -> tu
     return row[kept], col[kept], far[kept]
 
 
-def _search_block(k: int):
-    """Nearest ``k`` candidates of each point inside one pair of blocks."""
+def _few_of_each(row: np.ndarray, vid: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest found of each row, ties to the smaller id."""
+    order = np.lexsort((vid, far, row))
+    row, vid, far = row[order], vid[order], far[order]
+    first = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1] if len(row) else np.zeros(0, int)
+    kept = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return row[kept], vid[kept], far[kept]
 
-    def search(points: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        cols = ["g", "vid", "nvid", "distance"]
-        if points.empty or cands.empty:
-            return pd.DataFrame({c: [] for c in cols}).astype({"g": "str", "vid": "int64", "nvid": "int64", "distance": "float64"})
-        cands = cands.sort_values("vid")
-        b, bid = np.stack(cands["v"].to_numpy()), cands["vid"].to_numpy()
-        parts = []
-        for i in range(0, len(points), 1024):
-            some = points.iloc[i : i + 1024]
-            a, aid = np.stack(some["v"].to_numpy()), some["vid"].to_numpy()
-            row, col, near = _nearest_pairs(a, b, k, aid[:, None] == bid[None, :])
-            parts.append(pd.DataFrame({"g": some["g"].iloc[0], "vid": aid[row], "nvid": bid[col], "distance": near}))
-        return pd.concat(parts)
+
+def _search(a: np.ndarray, aid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int, step: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nearest ``k`` candidates ``b``, in the order of their ids, of each point, slice by slice."""
+    found = []
+    for i in range(0, len(a), step):
+        row, col, far = _nearest_pairs(a[i : i + step], b, k, aid[i : i + step, None] == bid[None, :])
+        found.append((row + i, bid[col], far))
+    return found
+
+
+def _search_group(k: int):
+    """Nearest ``k`` other vectors of each vector of one small group."""
+    step = _QUERY_BLOCK
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vid")
+        v, vid = np.stack(rows["v"].to_numpy()), rows["vid"].to_numpy()
+        row, near, far = (np.concatenate(x) for x in zip(*_search(v, vid, v, vid, k, step)))
+        return pd.DataFrame({"g": rows["g"].iloc[0], "vid": vid[row], "nvid": near, "distance": far})
+
+    return search
+
+
+def _search_blocks(k: int):
+    """Nearest ``k`` of each point of a block (q) among those of the blocks (c) it is paired with, for pairs that come block by block."""
+    step = _QUERY_BLOCK
+
+    def told(g: str, ids: np.ndarray, best) -> pa.RecordBatch:
+        row, near, far = best
+        return pa.RecordBatch.from_pydict({"g": pa.array([g] * len(row), pa.string()), "vid": ids[row], "nvid": near, "distance": far})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, g, ids, best = None, None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                read = lambda c, kind: np.frombuffer(batch[c][i].as_buffer(), kind)  # noqa: E731, B023
+                if batch["q"][i].as_py() != last:
+                    if best is not None:
+                        yield told(g, ids, best)
+                    last, g = batch["q"][i].as_py(), batch["g"][i].as_py()
+                    ids = read("q_ids", np.int64).copy()
+                    points = read("q_v", np.float64).reshape(len(ids), -1).copy()
+                    asks = read("q_asks", np.uint8).reshape(len(ids), -1).copy()
+                    best = (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+                bid, at = read("c_ids", np.int64), read("c_at", np.int32)
+                b = read("c_v", np.float64).reshape(len(bid), -1)
+                found = [best]
+                for cell in np.unique(at):  # candidates stand cell by cell
+                    mine = np.flatnonzero(asks[:, cell >> 3] & (1 << (cell & 7)))
+                    lo, hi = np.searchsorted(at, [cell, cell + 1])
+                    found += [(mine[row], near, far) for row, near, far in _search(points[mine], ids[mine], b[lo:hi], bid[lo:hi], k, step)]
+                best = _few_of_each(*(np.concatenate(x) for x in zip(*found)), k)
+        if best is not None:
+            yield told(g, ids, best)
 
     return search
 
 
 def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
-    """(g, vid, nvid, distance): the ``k`` nearest other distinct vectors of a group."""
+    """(g, vid, nvid, distance): the ``k`` nearest other distinct vectors of a group.
+
+    Groups of up to ``_BLOCK`` vectors are searched whole. The vectors of larger ones are
+    packed into blocks; pairs of blocks are made where they are searched and stored
+    nowhere, so what moves and lies on disk grows with the vectors, not with the pairs.
+    """
     spark = vecs.sparkSession
-    found = vecs.groupBy("g").agg(F.count("*").alias("n")).limit(_MAX_CELLS // 2 + 1).collect()
-    if len(found) > _MAX_CELLS // 2:  # what tasks are handed is kept bounded: several rounds of groups
-        rounds = -(-vecs.select("g").distinct().count() // (_MAX_CELLS // 4))
-        turn = F.pmod(F.xxhash64("g"), F.lit(rounds))
-        return reduce(DataFrame.unionByName, [_vector_neighbours(vecs.filter(turn == i), k) for i in range(rounds)])
-    sizes = {r["g"]: r["n"] for r in found}
-    n_pivots = max(1, min(_PIVOTS, sum(sizes.values()) // _BLOCK, _MAX_CELLS // max(1, len(sizes))))
+    large = vecs.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > _BLOCK).collect()
+    out = "g string, vid bigint, nvid bigint, distance double"
+    if not large:
+        return vecs.groupBy("g").applyInPandas(_search_group(k), out)
+    names = spark.createDataFrame([(r["g"],) for r in large], "g string")
+    small = attach(vecs, names, ["g"], "left_anti").groupBy("g").applyInPandas(_search_group(k), out)
+    vecs = attach(vecs, names, ["g"], "left_semi")
+    n_pivots = max(1, min(_PIVOTS, sum(r["n"] for r in large) // _BLOCK, _MAX_CELLS // len(large)))
     found = vecs.orderBy(F.md5(F.col("vid").cast("string"))).select("g", "vid", "v").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in found], dtype="float64"))
     pivot_group, pivot_id = np.array([r["g"] for r in found]), np.array([r["vid"] for r in found])
@@ -118,63 +174,60 @@ def _vector_neighbours(vecs: DataFrame, k: int) -> DataFrame:
         vecs.select("g", "vid", "v").mapInPandas(assign, "g string, vid bigint, v array<double>, cell int, r double"), "cells"
     )
     stats = placed.groupBy("g", "cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
-    table: dict[str, pd.DataFrame] = {g: t.sort_values("cell") for g, t in stats.toPandas().groupby("g")}
-    cells = spark.sparkContext.broadcast(
-        {g: tuple(t[c].to_numpy() for c in ("cell", "n", "lo", "hi")) for g, t in table.items()}
-    )
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row per cell that may hold one of the ``k`` nearest."""
-        for pdf in batches:
-            for g, rows in pdf.groupby("g"):
-                cell, n, lo, hi = cells.value[g]
-                mine = pivot_group == g
-                step = max(1, 50_000 // len(cell))
-                for i in range(0, len(rows), step):
-                    some = rows.iloc[i : i + step]
-                    every = _distances(np.stack(some["v"].to_numpy()), pivots.value)
-                    d = every[:, cell]
-                    # at least k others lie this near: by the cells' extents, or among the pivots
-                    upper = d + hi
-                    order = np.argsort(upper, axis=1)
-                    enough = np.cumsum(n[order], axis=1) >= k + 1
-                    at = enough.argmax(axis=1)
-                    bound = np.take_along_axis(np.take_along_axis(upper, order, 1), at[:, None], 1)[:, 0]
-                    bound = np.where(enough.any(axis=1), bound, np.inf)
-                    if mine.sum() > k:
-                        others = np.where(some["vid"].to_numpy()[:, None] == pivot_id[mine], np.inf, every[:, mine])
-                        bound = np.minimum(bound, np.partition(others, k - 1, axis=1)[:, k - 1])
-                    bound = bound * (1 + 1e-9) + 1e-9
-                    lower = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                    row, col = np.nonzero(lower <= bound[:, None])
-                    yield pd.DataFrame(
-                        {"g": g, "vid": some["vid"].to_numpy()[row], "v": some["v"].to_numpy()[row], "home": some["cell"].to_numpy()[row], "cell": cell[col].astype("int32"), "blocks": -(-n[col] // _BLOCK)}
-                    )
-
-    size_of = spark.createDataFrame(
-        [(g, int(c), int(-(-n // _BLOCK)), int(-(-n // _QUERY_BLOCK))) for g, t in table.items() for c, n in zip(t["cell"], t["n"])],
-        "g string, cell int, blocks int, qblocks int",
-    )
-    # a query block is a part of one home cell, so its points visit the same few cells
-    queries = placed.select("g", "vid", "v", "cell").mapInPandas(visits, "g string, vid bigint, v array<double>, home int, cell int, blocks bigint")
-    homes = size_of.select("g", F.col("cell").alias("home"), "qblocks")
-    queries = materialize(
-        attach(queries, homes, ["g", "home"], max_rows=_MAX_CELLS).select(
-            "g", "vid", "v", "cell",
-            F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"),
-            (F.col("home").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vid"), F.col("qblocks"))).alias("qblock"),
-        ),
-        "queries",
-    )
-    # candidates go to the query blocks that visit their cell, and to no other
-    asked = queries.groupBy("g", "cell", F.col("qblock").alias("asking")).agg(F.count("*").alias("points"))
-    cands = attach(placed, size_of, ["g", "cell"], max_rows=_MAX_CELLS)
-    cands = cands.select("g", "vid", "v", "cell", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int").alias("block"))
-    cands = cands.join(asked, ["g", "cell"]).withColumnRenamed("asking", "qblock").drop("points")
-    keys = ["g", "cell", "block", "qblock"]
-    hits = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(
-        _search_block(k), "g string, vid bigint, nvid bigint, distance double"
+    table: dict[str, pd.DataFrame] = {g: t.sort_values("cell") for g, t in sorted(stats.toPandas().groupby("g"))}
+    # the cells of a group one after the other, cut into blocks; cells have numbers of their own over all groups
+    known, where, blocks, places = {}, [], 0, 0
+    for g, t in table.items():
+        cell, n, lo, hi = (t[c].to_numpy() for c in ("cell", "n", "lo", "hi"))
+        known[g] = (cell, n, lo, hi, places)
+        where += [(g, int(c), i, int(m), int(before), blocks) for i, (c, m, before) in enumerate(zip(cell, n, np.cumsum(n) - n))]
+        blocks, places = blocks + int(-(-n.sum() // _BLOCK)), places + len(cell)
+    cells = spark.sparkContext.broadcast(known)
+
+    def asked(g: str, v: np.ndarray, vid: np.ndarray) -> np.ndarray:
+        """Which cells of the group may hold one of the ``k`` nearest of each point."""
+        cell, n, lo, hi, _ = cells.value[g]
+        mine = pivot_group == g
+        out = np.empty((len(v), len(cell)), bool)
+        step = max(1, 50_000 // len(cell))
+        for i in range(0, len(v), step):
+            every = _distances(v[i : i + step], pivots.value)
+            d = every[:, cell]
+            # at least k others lie this near: by the cells' extents, or among the pivots
+            upper = d + hi
+            order = np.argsort(upper, axis=1)
+            enough = np.cumsum(n[order], axis=1) >= k + 1
+            at = enough.argmax(axis=1)
+            bound = np.take_along_axis(np.take_along_axis(upper, order, 1), at[:, None], 1)[:, 0]
+            bound = np.where(enough.any(axis=1), bound, np.inf)
+            if mine.sum() > k:
+                others = np.where(vid[i : i + step, None] == pivot_id[mine], np.inf, every[:, mine])
+                bound = np.minimum(bound, np.partition(others, k - 1, axis=1)[:, k - 1])
+            bound = bound * (1 + 1e-9) + 1e-9
+            out[i : i + step] = np.maximum(np.maximum(d - hi, lo - d), 0.0) <= bound[:, None]
+        return out
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "vid"])
+        g, v, vid, at = rows["g"].iloc[0], np.stack(rows["v"].to_numpy()), rows["vid"].to_numpy(), rows["at"].to_numpy()
+        asks, first = asked(g, v, vid), cells.value[g][4]
+        bits = np.packbits(asks, axis=1, bitorder="little")
+        return pd.DataFrame({
+            "q": [rows["blk"].iloc[0]], "g": [g], "ids": [vid.astype(np.int64).tobytes()], "v": [v.astype(np.float64).tobytes()], "at": [at.astype(np.int32).tobytes()],
+            "asks": [bits.tobytes()], "visits": [first + np.flatnonzero(asks.any(axis=0))], "holds": [first + np.unique(at)],
+        })
+
+    parts = spark.createDataFrame(where, "g string, cell int, at int, n bigint, before bigint, base bigint")
+    dealt = attach(placed, parts, ["g", "cell"], max_rows=_MAX_CELLS)
+    block = F.col("base") + F.expr(f"(before + pmod(xxhash64(vid), n)) div {_BLOCK}")
+    packed = dealt.select(block.alias("blk"), "g", "vid", "v", "at").groupBy("blk").applyInPandas(
+        pack, "q bigint, g string, ids binary, v binary, at binary, asks binary, visits array<bigint>, holds array<bigint>"
     )
+    packed = materialize(packed, "blocks")
+    points = packed.select("q", "g", "visits", *[F.col(c).alias(f"q_{c}") for c in ("ids", "v", "asks")]).repartition(min(blocks, _MAX_PARTS))
+    others = packed.select("holds", *[F.col(c).alias(f"c_{c}") for c in ("ids", "v", "at")]).repartition(-(-blocks // _PART_BLOCKS))
+    pairs = points.join(others, F.arrays_overlap("visits", "holds")).drop("visits", "holds")
+    hits = small.unionByName(pairs.mapInArrow(_search_blocks(k), out))
     w = W.partitionBy("g", "vid").orderBy("distance", "nvid")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
